@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPECIAL = set("\\^$.|?*+()[]{}-&~#")
 
@@ -111,7 +112,7 @@ def any_glob_regex(globs: Iterable[str] | None) -> str | None:
     return "(?s)^(?:" + "|".join(parts) + ")\\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _any_glob_regex_udf(lists: pd.Series) -> pd.Series:
     return lists.map(any_glob_regex)
 

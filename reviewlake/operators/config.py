@@ -67,7 +67,7 @@ def attach_config(jobs: DataFrame, configs: DataFrame) -> DataFrame:
 
 def without_excluded(files: DataFrame) -> DataFrame:
     """Drop files whose path matches a glob of their configuration."""
-    hit = F.col("path").rlike(F.col("exclude_regex"))
+    hit = F.rlike("path", F.col("exclude_regex"))
     return files.where(F.col("exclude_regex").isNull() | ~hit)
 
 

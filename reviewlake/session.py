@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a call site for every column expression makes plan building slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
