@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.languages import language
 from reviewlake.functions.text import leading_int
+from reviewlake.session import spread
 
 PR_KEYS = ("repo_full_name", "pr_number")
 
@@ -31,8 +32,7 @@ def diff_rows(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
     """One row per diff line: keys, file_idx, n, text, kind."""
     preamble = F.when(F.col("raw").startswith(_FILE_HEADER), 0).otherwise(1)
     chunks = (
-        diffs.select(*keys, "raw")
-        .repartition(*keys)
+        spread(diffs.select(*keys, "raw"), *keys)
         .select(
             *keys,
             preamble.alias("__skip"),

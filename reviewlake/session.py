@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results (time zone) or that the plans are tuned for.
 DEFAULTS = {
@@ -14,6 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Beyond this size the JVM leaves a generated method uncompiled; separate
+    # projections, split into small methods, are then much faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Recording a call site for every column expression makes plan building slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -41,3 +44,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="reviewlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key over all shuffle partitions, ahead of an explode.
+
+    The explicit number keeps adaptive execution from merging partitions by
+    their compressed size, which says little about the rows they explode into.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
