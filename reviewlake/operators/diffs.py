@@ -28,8 +28,8 @@ def split_oversized(diffs: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFr
     return diffs.where(size <= max_bytes), diffs.where(size > max_bytes)
 
 
-def diff_rows(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
-    """One row per diff line: keys, file_idx, n, text, kind."""
+def _file_chunks(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per file entry: keys, file_idx, chunk; text before the first is dropped."""
     preamble = F.when(F.col("raw").startswith(_FILE_HEADER), 0).otherwise(1)
     chunks = (
         spread(diffs.select(*keys, "raw"), *keys)
@@ -40,11 +40,23 @@ def diff_rows(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
         )
         .where(F.col("__chunk").startswith(_FILE_HEADER))
     )
-    rows = chunks.select(
-        *keys,
-        (F.col("__pos") - F.col("__skip")).alias("file_idx"),
-        F.posexplode(F.split("__chunk", "\n", -1)).alias("n", "text"),
+    return chunks.select(
+        *keys, (F.col("__pos") - F.col("__skip")).alias("file_idx"), F.col("__chunk").alias("chunk")
     )
+
+
+def diff_rows(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+    """One row per diff line: keys, file_idx, n, text, kind."""
+    lines = F.posexplode(F.split("chunk", "\n", -1)).alias("n", "text")
+    rows = _file_chunks(diffs, keys).select(*keys, "file_idx", lines)
+    return rows.withColumn("kind", _line_kind(F.col("n"), F.col("text")))
+
+
+def _header_rows(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``diff_rows`` that name files; no other line is exploded."""
+    headers = r"(?md)^(?:diff --git |---|\+\+\+|new file mode).*$"
+    found = F.posexplode(F.regexp_extract_all("chunk", F.lit(headers), F.lit(0))).alias("n", "text")
+    rows = _file_chunks(diffs, keys).select(*keys, "file_idx", found)
     return rows.withColumn("kind", _line_kind(F.col("n"), F.col("text")))
 
 
@@ -147,8 +159,7 @@ def diff_files(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
     so_far = _in_file_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = F.regexp_replace("text", r"^(?:---|\+\+\+) ", "")
     exists = target != "/dev/null"
-    rows = diff_rows(diffs, keys).where(F.col("kind").isin("file", "old", "new", "created"))
-    rows = rows.select(
+    rows = _header_rows(diffs, keys).select(
         *keys,
         "file_idx",
         "n",

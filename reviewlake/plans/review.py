@@ -53,12 +53,7 @@ def rule_findings(
     """Enabled findings of all rules on changed lines, numbered within the file."""
     info = dif.line_info(dif.diff_lines(diffs))
     files = changed_sources(jobs, diffs, sources)
-    touched = info.where("changed").select(*FILE_KEYS).distinct()
-    scanned = scan(
-        files.select(*FILE_KEYS, "path", "content", "go_version").join(touched, list(FILE_KEYS), "left_semi"),
-        rules,
-        only,
-    )
+    scanned = scan(files.select(*FILE_KEYS, "path", "content", "go_version"), rules, only)
     found = gated(scanned, info)
     names = dif.diff_files(diffs).select(*FILE_KEYS, "path").join(jobs.select(*PR, "rule_flags"), PR)
     found = cfg.only_enabled(found.join(names, list(FILE_KEYS))).drop("rule_flags")

@@ -17,6 +17,9 @@ DEFAULTS = {
     # Beyond this size the JVM leaves a generated method uncompiled; separate
     # projections, split into small methods, are then much faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The scan plan has more generated classes than the default cache holds; a
+    # full cache makes every task compile them again.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     # Recording a call site for every column expression makes plan building slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
