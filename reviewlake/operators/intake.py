@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.crypto import hmac_sha256_hex
+from reviewlake.functions.once import with_once
 from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, zero_filled
 from reviewlake.schemas import PULL_REQUEST_EVENT
 
@@ -29,18 +30,18 @@ def classify_deliveries(deliveries: DataFrame, secret: bytes) -> DataFrame:
     authentic = F.coalesce(F.col("signature") == expected, F.lit(False))
     routed = F.coalesce(F.col("event_type") == REVIEW_EVENT, F.lit(False))
 
-    # The gate keeps the hash and the decoder off rows an earlier test settles.
-    df = deliveries.withColumn(
-        "__gate",
-        F.when(~small, "oversized")
+    # The gate keeps the decoder off rows an earlier test settles.
+    df = with_once(
+        deliveries,
+        __gate=F.when(~small, "oversized")
         .when(~authentic, "forged")
         .when(~routed, "other")
         .otherwise("decode"),
     )
     body_text = F.col("body").cast("string")
-    df = df.withColumn(
-        "__envelope",
-        F.when(F.col("__gate") == "decode", decode_envelope(body_text, PULL_REQUEST_EVENT)),
+    df = with_once(
+        df,
+        __envelope=F.when(F.col("__gate") == "decode", decode_envelope(body_text, PULL_REQUEST_EVENT)),
     )
     df = df.withColumn("__ok", envelope_ok(F.col("__envelope")))
     value = envelope_value(F.col("__envelope"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.functions.once import with_once
 from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, zero_filled
 from reviewlake.functions.text import severity_from_confidence, with_isolated_json
 from reviewlake.schemas import DETECTOR_PAYLOAD, REVIEWER_PAYLOAD, SUGGESTER_PAYLOAD
@@ -26,12 +27,15 @@ RULE_PREFIX = "llm-"
 
 def decoded_responses(responses: DataFrame) -> DataFrame:
     """Answers with the decoded payload of their own stage and an ok flag."""
-    df = with_isolated_json(responses, "content", "__json")
+    df = with_isolated_json(responses, "content", "__text_json")
+    df = with_once(df, __json=F.col("__text_json")).drop("__text_json")
     payloads = {DETECTOR: DETECTOR_PAYLOAD, SUGGESTER: SUGGESTER_PAYLOAD, REVIEWER: REVIEWER_PAYLOAD}
     answered = F.col("error").isNull()
-    for stage, schema in payloads.items():
-        mine = (F.col("stage") == stage) & answered
-        df = df.withColumn(f"__{stage}", F.when(mine, decode_envelope(F.col("__json"), schema)))
+    envelopes = {
+        f"__{stage}": F.when((F.col("stage") == stage) & answered, decode_envelope(F.col("__json"), schema))
+        for stage, schema in payloads.items()
+    }
+    df = with_once(df, **envelopes)
     ok = F.lit(False)
     for stage in payloads:
         ok = ok | envelope_ok(F.col(f"__{stage}"))

@@ -19,7 +19,7 @@ from reviewlake.operators import prompts
 from reviewlake.operators import review as rev
 from reviewlake.operators import seams
 from reviewlake.plans import review as plan
-from reviewlake.session import work_dir
+from reviewlake.session import work_dir, written
 from reviewlake.sources import corpus, tables
 from reviewlake.streaming.intake import start_intake
 from reviewlake.streaming.reviewing import ReviewTables, start_reviewing
@@ -186,9 +186,14 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pr_number", "item_idx", "embedding_text")
 
 
-def _order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates seen as static findings: the rule stream of the order files."""
-    items = mod.stage_items(mod.stage_outcomes(corpus.order_responses(spark, sf_dir)))
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded answers as a table, for queries that read them more than once."""
+    return written(mod.stage_outcomes(corpus.order_responses(spark, sf_dir)), "outcomes")
+
+
+def _order_findings(outcomes: DataFrame) -> DataFrame:
+    """Items seen as static findings: the rule stream of the order files."""
+    items = mod.stage_items(outcomes)
     tagged = F.concat(F.lit("[rule]  "), "message", F.lit("  "))
     position = F.when(F.col("line") % 2 == 0, F.col("line") + 1).otherwise(0)
     return items.select(
@@ -202,20 +207,21 @@ def _order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = mod.stage_outcomes(corpus.order_responses(spark, sf_dir)).select(*mod.FILE_KEYS)
+def _order_files(outcomes: DataFrame) -> DataFrame:
+    files = outcomes.select(*mod.FILE_KEYS)
     return files.withColumn("content", F.concat(F.lit("package o"), F.col("pr_number").cast("string")))
 
 
 def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = prompts.query_text(_order_files(spark, sf_dir), _order_findings(spark, sf_dir))
+    outcomes = _outcomes(spark, sf_dir)
+    texts = prompts.query_text(_order_files(outcomes), _order_findings(outcomes))
     return texts.select("pr_number", "query_text")
 
 
 def stage_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request texts of all stages, as length and digest."""
-    outcomes = mod.stage_outcomes(corpus.order_responses(spark, sf_dir))
-    files, found = _order_files(spark, sf_dir), _order_findings(spark, sf_dir)
+    outcomes = _outcomes(spark, sf_dir)
+    files, found = _order_files(outcomes), _order_findings(outcomes)
     similar = mod.stage_items(outcomes).select(
         *mod.FILE_KEYS,
         F.col("item_idx").alias("rank"),
@@ -240,8 +246,8 @@ def live_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     def provider(requests: Sequence[dict]) -> list[tuple[str | None, str | None]]:
         return [(f"{r['stage']} {len(r['user'])}", None) for r in requests]
 
-    outcomes = mod.stage_outcomes(corpus.order_responses(spark, sf_dir))
-    requests = prompts.suggester_requests(_order_files(spark, sf_dir), mod.stage_candidates(outcomes))
+    outcomes = _outcomes(spark, sf_dir)
+    requests = prompts.suggester_requests(_order_files(outcomes), mod.stage_candidates(outcomes))
     answers = seams.complete(requests, provider)
     return answers.select("pr_number", "path", "stage", "attempt", "content", "error")
 
@@ -298,14 +304,14 @@ def saved_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = mod.stage_outcomes(corpus.order_responses(spark, sf_dir))
+    outcomes = _outcomes(spark, sf_dir)
     models = mod.model_findings(outcomes, corpus.order_positions(spark, sf_dir)).select(
         *mod.FILE_KEYS,
         F.lit(0).alias("file_idx"),
         F.col("item_idx").cast("bigint").alias("ord"),
         "rule", "message", "line", "diff_pos", "confidence", "suggested_fix",
     )
-    return rev.merged_findings(_order_findings(spark, sf_dir), models)
+    return rev.merged_findings(_order_findings(outcomes), models)
 
 
 def _flat_reviews(reviews: DataFrame) -> DataFrame:

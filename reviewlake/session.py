@@ -57,3 +57,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the work folder, for plans that read them often.
+
+    Unlike a cache it survives lost executors.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.crypto import hmac_sha256_hex
+from reviewlake.session import spread
 from reviewlake.sources.templates import GO_TEMPLATES
 
 SECRET = b"corpus-secret"
@@ -291,7 +292,7 @@ def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("l_returnflag").alias("category"),
     )
     files = (
-        order_items(spark, sf_dir)
+        spread(order_items(spark, sf_dir), "pr_number")
         .groupBy("repo_full_name", "pr_number", "path")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )
