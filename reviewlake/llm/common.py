@@ -46,6 +46,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python objects: Arrow takes those in one piece whatever they were put together from."""
+    return frame.astype({c: object for c, kind in frame.dtypes.items() if isinstance(kind, pd.StringDtype)})
+
+
 def chunks(texts: Iterable[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text stands alone."""
     start, size, n = 0, 0, 0

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from reviewlake.llm.common import bounded_batches
 from reviewlake.session import written
@@ -123,6 +125,22 @@ def merged(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def scanner(shared: Broadcast) -> Callable[..., Column]:
+    """Adds one automaton's hits and items to those of the blocks before."""
+
+    @pandas_udf("hits array<array<int>>, items array<string>")
+    def scan(texts: pd.Series, before: pd.Series, known: pd.Series) -> pd.DataFrame:
+        automaton = shared.value
+        hits, found = [], []
+        for text, ranges, names in zip(texts, before, known):
+            new, items = automaton.scan(words(text))
+            hits.append(new if ranges is None or not len(ranges) else merged(new + [list(map(int, r)) for r in ranges]))
+            found.append(sorted(items | set(names)))
+        return pd.DataFrame({"hits": pd.Series(hits, dtype=object), "items": pd.Series(found, dtype=object)})
+
+    return scan
+
+
 def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -142,7 +160,6 @@ def find_leaks(
     """
     spark = documents.sparkSession
     bounded_batches(spark)
-    kind = documents.schema[id_col].dataType.simpleString()
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")
     ).where("item is not null and text is not null")
@@ -155,44 +172,24 @@ def find_leaks(
         F.lit(None).cast("array<array<int>>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    schema = f"id {kind}, text string, hits array<array<int>>, items array<string>"
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()
         shared = spark.sparkContext.broadcast(WindowAutomaton.build(((r.item, r.text) for r in rows), window))
-
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = shared.value
-            for part in frames:
-                hits, found = [], []
-                for text, before, known in zip(part["text"], part["hits"], part["items"]):
-                    ranges, names = automaton.scan(words(text))
-                    if before is not None and len(before):
-                        ranges = merged(ranges + [list(map(int, r)) for r in before])
-                    hits.append(ranges)
-                    found.append(sorted(names | set(known)))
-                yield part.assign(hits=hits, items=found)
-
-        frame = frame.mapInPandas(scan, schema)
+        frame = frame.select("id", "text", scanner(shared)("text", "hits", "items").alias("found")).select("id", "text", "found.*")
         if blocks > 1:
             frame = written(frame, "leaks")
 
-    def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in frames:
-            counts, spans = [], []
-            for text, hits in zip(part["text"], part["hits"]):
-                counts.append(len(words(text)))
-                if not len(hits):
-                    spans.append([])
-                    continue
-                at = [m.span() for m in _WORD.finditer(text)]
-                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in hits])
-            yield pd.DataFrame({
-                "id": part["id"],
-                "n_words": counts,
-                "n_hit": [sum(int(b - a) for a, b in h) for h in part["hits"]],
-                "items": part["items"],
-                "spans": spans,
-            })
-
-    out = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    return frame.mapInPandas(locate, out).withColumnRenamed("id", id_col)
+    @pandas_udf("n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>")
+    def locate(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        spans = []
+        for text, ranges in zip(texts, hits):
+            at = [m.span() for m in _WORD.finditer(text)] if len(ranges) else []
+            spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
+        return pd.DataFrame({
+            "n_words": [len(words(t)) for t in texts],
+            "n_hit": [sum(int(b - a) for a, b in h) for h in hits],
+            "spans": pd.Series(spans, dtype=object),
+        })
+
+    located = frame.select("id", "items", locate("text", "hits").alias("found"))
+    return located.select(F.col("id").alias(id_col), "found.n_words", "found.n_hit", "items", "found.spans")

@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontaminate, secrets, warc
-from reviewlake.llm.common import table
+from reviewlake.llm import decontaminate, langid, secrets, toxicity, warc
+from reviewlake.llm.common import held_out, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labelled ones."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(toxicity.sample(documents, table(spark, sf_dir, "labels")))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "clauses",
+    )
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +40,15 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    documents = table(spark, sf_dir, "documents")
+    found = documents.select("doc_id", langid.language(langid.fit(documents), documents).alias("found"))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score", "found.bits_per_byte"
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,7 +71,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
+    "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op10_warc": op10_warc,
 }

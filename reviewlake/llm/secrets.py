@@ -12,14 +12,13 @@ do not overlap in a way that gives two readings of one match.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
 
 from reviewlake.llm.common import bounded_batches, chunks
 from reviewlake.llm.dfa import Dfa, compile_rules, parse, reverse, scan
@@ -141,27 +140,14 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of the table are not read. Texts are scanned whole.
     """
     bounded_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in frame["text"]]
-            spans: list[list[tuple[str, int, int]]] = []
-            for a, b in chunks(texts, CHUNK):
-                spans += [kept_spans(t, s, rules) for t, s in zip(texts[a:b], scan_texts(texts[a:b], rules))]
-            yield pd.DataFrame({
-                "id": frame["id"],
-                "spans": [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans],
-            })
+    @pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        found: list[list[dict]] = []
+        for a, b in chunks(data, CHUNK):
+            for text, raw in zip(data[a:b], scan_texts(data[a:b], rules)):
+                found.append([{"kind": k, "start": s, "end": e} for k, s, e in kept_spans(text, raw, rules)])
+        return pd.Series(found, index=texts.index, dtype=object)
 
-    rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    schema = f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInPandas(work, schema).withColumnRenamed("id", id_col)
-
-
-def spans_text(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return df.select(df[id_col].alias(id_col), spans(df[text_col].cast("string")).alias("spans"))

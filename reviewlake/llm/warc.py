@@ -32,11 +32,12 @@ GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 #: A task starts another archive beyond this size.
 FILE_BYTES = 1 << 30
 
+#: Ids travel as text: a nullable number would lose digits in pandas.
 INDEX = (
-    "page_id bigint, url string, file string, offset bigint, length bigint, payload_digest string, "
-    "payload_bytes bigint, record_type string, refers_to bigint"
+    "page_id string, url string, file string, offset bigint, length bigint, payload_digest string, "
+    "payload_bytes bigint, record_type string, refers_to string"
 )
-RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+RECORD = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,11 +46,11 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
+def record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One WARC record: headers, an HTTP response block (without its body in a revisit), two line ends."""
     body = payload if refers_to is None else b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + body
@@ -63,9 +64,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "Content-Length": str(len(block)),
     }
     if page_id is not None:
-        fields["X-Page-Id"] = str(page_id)
+        fields["X-Page-Id"] = page_id
     if refers_to is not None:
-        fields |= {"WARC-Profile": _PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": str(refers_to)}
+        fields |= {"WARC-Profile": _PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": refers_to}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
@@ -82,11 +83,11 @@ def parse_record(data: bytes) -> dict:
         size = int(http.rpartition(b"Content-Length: ")[2])
         digest, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
     return {
-        "page_id": None if page is None else int(page),
+        "page_id": page,
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": fields["WARC-Type"],
-        "refers_to": None if refers is None else int(refers),
+        "refers_to": refers,
         "payload": payload,
     }
 
@@ -111,10 +112,17 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     )
     again = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return keyed.join(first, "digest", "left").select(
-        "page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to")
+        F.col("page_id").cast("string").alias("page_id"),
+        "url",
+        "html",
+        F.when(again, F.col("first")).cast("string").alias("refers_to"),
     )
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record per page and return the index, a table in the work folder.
 
@@ -134,6 +142,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         part, offset, out, name = 0, 0, None, ""
         store, root = fs.FileSystem.from_uri(base)
         for frame in frames:
+            if frame.empty:
+                continue
             rows = []
             for page_id, url, html, refers in zip(frame["page_id"], frame["url"], frame["html"], frame["refers_to"]):
                 if out is None or offset > FILE_BYTES:
@@ -143,20 +153,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     offset, name = 0, f"pages-{attempt:08d}-{part:04d}.warc.gz"
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                page = None if pd.isna(page_id) else int(page_id)
-                to = None if pd.isna(refers) else int(refers)
                 payload = html.encode("utf-8", "surrogatepass")
                 digest = sha1_base32(payload)
-                member = gzip.compress(record(page, url, payload, digest, to, date), 6, mtime=0)
+                member = gzip.compress(record(page_id, url, payload, digest, refers, date), 6, mtime=0)
                 out.write(member)
-                rows.append((page, url, name, offset, len(member), digest, len(payload), "response" if to is None else "revisit", to))
+                kind = "response" if refers is None else "revisit"
+                rows.append((page_id, url, name, offset, len(member), digest, len(payload), kind, refers))
                 offset += len(member)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")], dtype=object)
         if out is not None:
             out.close()
 
     index = written(decide(pages, min_bytes).mapInPandas(write, INDEX), "warc-index")
-    return index.withColumn("file", F.concat(F.lit(f"{base}/"), F.col("file")))
+    return numbered(index).withColumn("file", F.concat(F.lit(f"{base}/"), F.col("file")))
 
 
 def ranges(offsets: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
@@ -184,6 +193,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened, stream = "", None
         for frame in frames:
+            if frame.empty:
+                continue
             rows = []
             for file, group in frame.groupby("file", sort=False):
                 if file != opened:
@@ -197,13 +208,13 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     data = stream.read_at(int(offsets[b - 1] + lengths[b - 1]) - begin, begin)
                     for o, n in zip(offsets[a:b] - begin, lengths[a:b]):
                         rows.append(parse_record(gzip.decompress(data[o : o + n])))
-            found = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
+            found = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")], dtype=object)
             if not with_payload:
                 found["payload"] = None
-            yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield found
         if stream is not None:
             stream.close()
 
     chosen = index.select("file", "offset", "length").repartitionByRange(partitions(spark), "file", "offset")
-    records = chosen.sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
+    records = numbered(chosen.sortWithinPartitions("file", "offset").mapInPandas(read, RECORD))
     return records if with_payload else records.drop("payload")
