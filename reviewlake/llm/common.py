@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,15 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({c: object for c, kind in frame.dtypes.items() if isinstance(kind, pd.StringDtype)})
 
 
+#: A table of up to this many narrow rows may be broadcast (some 50 MB).
+SMALL_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has few rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def chunks(texts: Iterable[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes; a longer text stands alone."""
     start, size, n = 0, 0, 0
@@ -84,11 +94,20 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def pieces(h: np.ndarray, n: int, width: int, base: int) -> np.ndarray:
-    """Hashes of the ``n`` windows of ``width`` consecutive values."""
-    out = np.zeros(n, dtype=np.uint64)
-    for j, p in enumerate(powers(base, width)):
-        out += h[j : j + n] * p
-    return mix(out)
+    """Hashes of the first ``n`` windows of ``width`` consecutive values.
+
+    Prefix sums of a polynomial give a window's sum as a difference; the inverse
+    power brings it back to the window's own start.
+    """
+    up, down = _powers_both(base, 1 << max(12, (len(h) + 1).bit_length()))
+    total = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[width : width + n] - total[:n]) * down[:n])
+
+
+@lru_cache(maxsize=8)
+def _powers_both(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(base, n), powers(pow(base, -1, 1 << 64), n)
 
 
 def run_starts(keys: np.ndarray) -> np.ndarray:

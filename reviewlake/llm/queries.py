@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontaminate, langid, secrets, toxicity, warc
+from reviewlake.llm import decontaminate, langid, line_dedup, ngram_join, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -40,6 +40,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of similar documents of every document."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     documents = table(spark, sf_dir, "documents")
@@ -62,6 +67,19 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: lines before and after, and a digest of the text left."""
+    documents = table(spark, sf_dir, "documents")
+    left = line_dedup.drop_repeated_lines(documents.withColumn("before", F.col("text")))
+
+    def lines(text: str) -> F.Column:
+        return F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("bigint")
+
+    return left.select(
+        "doc_id", lines("before").alias("n_lines"), lines("text").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, then read all records back by the index."""
     index = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -73,7 +91,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
     "op10_warc": op10_warc,
 }
