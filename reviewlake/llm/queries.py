@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontaminate, langid, line_dedup, ngram_join, secrets, toxicity, warc
+from reviewlake.llm import decontaminate, langid, line_dedup, mixing, ngram_join, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -80,6 +80,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tempered mix: every document's place in every pass over its source."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "pass", "block", "place")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, then read all records back by the index."""
     index = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
