@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches
+from reviewlake.llm.common import bounded_batches, fresh
 from reviewlake.session import written
 
 #: Words of an item in one window.
@@ -141,21 +141,40 @@ def scanner(shared: Broadcast) -> Callable[..., Column]:
     return scan
 
 
-def find_leaks(
+def locator() -> Callable[..., Column]:
+    """Word ranges as stretches of the original text."""
+
+    @pandas_udf("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    def locate(texts: pd.Series, hits: pd.Series, items: pd.Series) -> pd.DataFrame:
+        spans = []
+        for text, ranges in zip(texts, hits):
+            at = [m.span() for m in _WORD.finditer(text)] if len(ranges) else []
+            spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
+        return pd.DataFrame({
+            "n_words": [len(words(t)) for t in texts],
+            "n_hit": [sum(int(b - a) for a, b in h) for h in hits],
+            "items": items,
+            "spans": pd.Series(spans, dtype=object),
+        })
+
+    return locate
+
+
+def with_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
+    name: str,
     text_col: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """Per document: id, ``n_words``, ``n_hit``, ``items`` (ids as sorted text), ``spans``.
+    """The documents with a struct column ``name``: ``n_words``, ``n_hit``, ``items`` (ids as sorted text), ``spans``.
 
     ``spans`` are the hit stretches in code points of the original text, the end
     exclusive. Null texts have no words; null items and items without words have no
     windows; an item without an id has no name to report and is left out. Repeated
-    rows are scanned each; empty tables give no rows or no hits; other columns are
-    not read. The benchmark is cut into blocks of bounded size by the hash of the
+    rows are scanned each; empty tables give no rows or no hits; other columns pass
+    through. The benchmark is cut into blocks of bounded size by the hash of the
     item id, and the texts meet one automaton per block.
     """
     spark = documents.sparkSession
@@ -166,30 +185,22 @@ def find_leaks(
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
 
-    frame = documents.select(
-        documents[id_col].alias("id"),
-        documents[text_col].cast("string").alias("text"),
-        F.lit(None).cast("array<array<int>>").alias("hits"),
-        F.array().cast("array<string>").alias("items"),
+    found = fresh(documents, "found")
+    text = F.col(text_col).cast("string")
+    frame = documents.withColumn(
+        found, F.struct(F.lit(None).cast("array<array<int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     )
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator()
         shared = spark.sparkContext.broadcast(WindowAutomaton.build(((r.item, r.text) for r in rows), window))
-        frame = frame.select("id", "text", scanner(shared)("text", "hits", "items").alias("found")).select("id", "text", "found.*")
+        frame = frame.withColumn(found, scanner(shared)(text, F.col(f"{found}.hits"), F.col(f"{found}.items")))
         if blocks > 1:
             frame = written(frame, "leaks")
+    return frame.withColumn(name, locator()(text, F.col(f"{found}.hits"), F.col(f"{found}.items"))).drop(found)
 
-    @pandas_udf("n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>")
-    def locate(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        spans = []
-        for text, ranges in zip(texts, hits):
-            at = [m.span() for m in _WORD.finditer(text)] if len(ranges) else []
-            spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
-        return pd.DataFrame({
-            "n_words": [len(words(t)) for t in texts],
-            "n_hit": [sum(int(b - a) for a, b in h) for h in hits],
-            "spans": pd.Series(spans, dtype=object),
-        })
 
-    located = frame.select("id", "items", locate("text", "hits").alias("found"))
-    return located.select(F.col("id").alias(id_col), "found.n_words", "found.n_hit", "items", "found.spans")
+def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """Per document: id, ``n_words``, ``n_hit``, ``items``, ``spans``, as :func:`with_leaks` gives them."""
+    narrow = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
+    located = with_leaks(narrow, benchmark, "leaks", "text", **options)
+    return located.select(F.col("id").alias(id_col), "leaks.n_words", "leaks.n_hit", "leaks.items", "leaks.spans")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from reviewlake.llm.licenses import TEMPLATES, THRESHOLD, prepared
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -23,6 +25,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+
+
+def _licenses() -> str:
+    rows, _ = prepared(TEMPLATES, THRESHOLD)
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    values = ", ".join(f"({text(n)}, [{', '.join(map(text, b))}])" for n, b, *_ in rows)
+    return rf"""
+WITH templates(name, grams) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+units AS (
+  SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '
+\s*
+'), [text])) AS unit FROM docs),
+split AS (SELECT r, unit, string_split(trim(regexp_replace(unit, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+grams AS (
+  SELECT r, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM split WHERE len(w) > 1),
+scored AS (
+  SELECT r, name, 2.0::DOUBLE * len(list_intersect(g, t.grams)) / (len(g) + len(t.grams)) AS dice FROM grams, templates t),
+found AS (SELECT r, name, max(dice) AS dice FROM scored WHERE dice >= {THRESHOLD} GROUP BY r, name),
+best AS (
+  SELECT r, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, string_agg(name, ',' ORDER BY name) AS licenses
+  FROM found GROUP BY r)
+SELECT doc_id, license, coalesce(dice, 0)::DOUBLE AS dice, coalesce(licenses, '') AS licenses FROM docs LEFT JOIN best USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op5_decontaminate": _DECONTAMINATE,
+    "op6_licenses": _licenses(),
 }

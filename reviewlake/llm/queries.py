@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import decontaminate, langid, line_dedup, mixing, ngram_join, secrets, toxicity, warc
+from reviewlake.llm import ann, decontaminate, langid, licenses, line_dedup, mixing, ngram_join, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -67,6 +67,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in every document."""
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inner product."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: lines before and after, and a digest of the text left."""
     documents = table(spark, sf_dir, "documents")
@@ -99,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
+    "op7_nearest": op7_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
