@@ -23,11 +23,15 @@ def _quote(char: str) -> str:
 
 
 def _class(glob: str, at: int) -> tuple[str, int] | None:
-    """Translate the class whose ``[`` is at ``at``; give the regex and its end."""
+    """Translate the class whose ``[`` is at ``at``; give the regex and its end.
+
+    A range that runs backwards holds no character.
+    """
     pos = at + 1
     negated = pos < len(glob) and glob[pos] in "!^"
     pos += negated
     body: list[str] = []
+    members = 0
     while pos < len(glob) and glob[pos] != "]":
         bounds = []
         for _ in range(2):
@@ -35,16 +39,20 @@ def _class(glob: str, at: int) -> tuple[str, int] | None:
                 pos += 1
             if pos >= len(glob) or (not bounds and glob[pos] == "-"):
                 return None
-            bounds.append(_quote(glob[pos]))
+            bounds.append(glob[pos])
             pos += 1
             if len(bounds) == 2 or pos + 1 >= len(glob) or glob[pos] != "-":
                 break
             if glob[pos + 1] == "]":
                 return None
             pos += 1
-        body.append("-".join(bounds))
-    if pos >= len(glob) or not body:
+        members += 1
+        if bounds[0] <= bounds[-1]:
+            body.append("-".join(map(_quote, bounds)))
+    if pos >= len(glob) or not members:
         return None
+    if not body:
+        return "[^/]" if negated else "(?!)", pos + 1
     return f"(?!/)[{'^' if negated else ''}{''.join(body)}]", pos + 1
 
 

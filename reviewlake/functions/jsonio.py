@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BROKEN = "_broken"
+#: Stands behind the value; text that closes the wrapper by itself hides it from the parser.
+_END = "end of the one value"
 
 
 def decode_envelope(text: Column, schema: T.StructType) -> Column:
     """Decode ``text`` wrapped in a one-element array.
 
     The wrapper makes trailing text, several values and an empty text
-    visible: they leave a parse error or a list that is not of size one.
+    visible: they leave a parse error, a list that is not of size one, or no
+    closing field.
     """
     envelope = T.StructType(
-        [T.StructField("_r", T.ArrayType(schema)), T.StructField(_BROKEN, T.StringType())]
+        [
+            T.StructField("_r", T.ArrayType(schema)),
+            T.StructField("_end", T.StringType()),
+            T.StructField(_BROKEN, T.StringType()),
+        ]
     )
-    wrapped = F.concat(F.lit('{"_r":['), text, F.lit("]}"))
+    wrapped = F.concat(F.lit('{"_r":['), text, F.lit(f'],"_end":"{_END}"}}'))
     return F.from_json(
         wrapped, envelope, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
     )
@@ -26,7 +33,9 @@ def decode_envelope(text: Column, schema: T.StructType) -> Column:
 
 def envelope_ok(envelope: Column) -> Column:
     return F.coalesce(
-        envelope.getField(_BROKEN).isNull() & (F.size(envelope.getField("_r")) == 1),
+        envelope.getField(_BROKEN).isNull()
+        & (envelope.getField("_end") == _END)
+        & (F.size(envelope.getField("_r")) == 1),
         F.lit(False),
     )
 

@@ -2,8 +2,8 @@
 
 A diff is cut into one chunk per file and one row per line; everything that
 depends on earlier lines is a running window over one file's lines. The raw
-text is shuffled once by pull request, before it is exploded, and every window
-and aggregate below reuses that partitioning.
+text is shuffled once by pull request and revision, before it is exploded, and
+every window and aggregate below reuses that partitioning.
 """
 
 from __future__ import annotations
@@ -18,6 +18,13 @@ from reviewlake.functions.text import leading_int
 from reviewlake.session import spread
 
 PR_KEYS = ("repo_full_name", "pr_number")
+REVISION = "head_sha"
+
+
+def revision_keys(df: DataFrame) -> list[str]:
+    """What names one diff: the pull request, and its head revision where the table has it."""
+    return [*PR_KEYS, REVISION] if REVISION in df.columns else list(PR_KEYS)
+
 
 _FILE_HEADER = "diff --git "
 
@@ -45,8 +52,9 @@ def _file_chunks(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def diff_rows(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def diff_rows(diffs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row per diff line: keys, file_idx, n, text, kind."""
+    keys = keys or revision_keys(diffs)
     lines = F.posexplode(F.split("chunk", "\n", -1)).alias("n", "text")
     rows = _file_chunks(diffs, keys).select(*keys, "file_idx", lines)
     return rows.withColumn("kind", _line_kind(F.col("n"), F.col("text")))
@@ -103,8 +111,9 @@ def _hunk_ranges(text: Column) -> Column:
     )
 
 
-def diff_lines(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def diff_lines(diffs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Body lines with type, content, line numbers of both sides and position."""
+    keys = keys or revision_keys(diffs)
     order = _in_file_order(keys)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -154,8 +163,9 @@ def diff_lines(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
     )
 
 
-def diff_files(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def diff_files(diffs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row per file entry: paths, language, new and deleted flags."""
+    keys = keys or revision_keys(diffs)
     so_far = _in_file_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = F.regexp_replace("text", r"^(?:---|\+\+\+) ", "")
     exists = target != "/dev/null"
@@ -195,8 +205,9 @@ def added_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line_type") == "added")
 
 
-def changed_lines(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def changed_lines(lines: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """The set of new-file line numbers a diff adds."""
+    keys = keys or revision_keys(lines)
     return (
         added_lines(lines)
         .where(F.col("new_line") > 0)
@@ -205,8 +216,9 @@ def changed_lines(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
     )
 
 
-def line_positions(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def line_positions(lines: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Position of every new-file line; the last occurrence decides."""
+    keys = keys or revision_keys(lines)
     return (
         lines.where(F.col("new_line") > 0)
         .groupBy(*keys, "file_idx", F.col("new_line").alias("line"))
@@ -214,8 +226,9 @@ def line_positions(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame
     )
 
 
-def line_info(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def line_info(lines: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Position and changed flag per new-file line, in one aggregate."""
+    keys = keys or revision_keys(lines)
     return (
         lines.where(F.col("new_line") > 0)
         .groupBy(*keys, "file_idx", F.col("new_line").alias("line"))
@@ -226,8 +239,9 @@ def line_info(lines: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
     )
 
 
-def diff_summary(diffs: DataFrame, keys: Sequence[str] = PR_KEYS) -> DataFrame:
+def diff_summary(diffs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Hunks and added lines per file, counting files without any."""
+    keys = keys or revision_keys(diffs)
     order = _in_file_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_hunk = F.col("kind") == "hunk"
     rows = diff_rows(diffs, keys).where(F.col("kind").isin("file", "hunk", "body"))

@@ -17,6 +17,12 @@ from reviewlake.schemas import DETECTOR_PAYLOAD, REVIEWER_PAYLOAD, SUGGESTER_PAY
 
 FILE_KEYS = ("repo_full_name", "pr_number", "path")
 
+
+def file_keys(df: DataFrame) -> list[str]:
+    """What names one file of a review: its path, with the revision and the entry of the diff where known."""
+    return [*FILE_KEYS, *(c for c in ("head_sha", "file_idx") if c in df.columns)]
+
+
 # Stage names, attempts, fallback scoring and decisions.
 DETECTOR, SUGGESTER, REVIEWER = "detector", "suggester", "reviewer"
 REVIEWER_ATTEMPTS = 3
@@ -55,6 +61,7 @@ def stage_outcomes(responses: DataFrame) -> DataFrame:
     without failure.
     """
     df = decoded_responses(responses)
+    keys = file_keys(df)
 
     def first_of(stage: str) -> Column:
         mine = F.when(F.col("stage") == stage, F.col("attempt"))
@@ -63,7 +70,7 @@ def stage_outcomes(responses: DataFrame) -> DataFrame:
 
     in_reach = (F.col("stage") == REVIEWER) & (F.col("attempt") <= REVIEWER_ATTEMPTS)
     decisive = in_reach & (F.col("ok") | F.col("error").isNotNull())
-    files = df.groupBy(*FILE_KEYS).agg(
+    files = df.groupBy(*keys).agg(
         first_of(DETECTOR).alias("d"),
         first_of(SUGGESTER).alias("s"),
         F.min_by(
@@ -98,7 +105,7 @@ def stage_outcomes(responses: DataFrame) -> DataFrame:
     )
     nothing = F.array().cast(REVIEWER_PAYLOAD["items"].dataType)
     return files.select(
-        *FILE_KEYS,
+        *keys,
         F.coalesce("d.items", F.array().cast(DETECTOR_PAYLOAD["candidates"].dataType)).alias(
             "candidates"
         ),
@@ -115,8 +122,9 @@ def stage_outcomes(responses: DataFrame) -> DataFrame:
 
 
 def _exploded(outcomes: DataFrame, column: str) -> DataFrame:
-    rows = outcomes.select(*FILE_KEYS, F.posexplode(column).alias("item_idx", "item"))
-    return rows.select(*FILE_KEYS, "item_idx", "item.*")
+    keys = file_keys(outcomes)
+    rows = outcomes.select(*keys, F.posexplode(column).alias("item_idx", "item"))
+    return rows.select(*keys, "item_idx", "item.*")
 
 
 def stage_candidates(outcomes: DataFrame) -> DataFrame:
@@ -128,21 +136,22 @@ def stage_items(outcomes: DataFrame) -> DataFrame:
 
 
 def failures(outcomes: DataFrame) -> DataFrame:
-    return outcomes.where(F.col("failed_stage").isNotNull()).select(*FILE_KEYS, "failed_stage")
+    return outcomes.where(F.col("failed_stage").isNotNull()).select(*file_keys(outcomes), "failed_stage")
 
 
 def model_findings(outcomes: DataFrame, positions: DataFrame) -> DataFrame:
     """Surviving reviewed items with their place in the diff.
 
-    ``positions`` has (repo_full_name, pr_number, path, line, diff_pos). An
-    inline item without a position becomes a file-level one.
+    ``positions`` has the file keys of the outcomes, line and diff_pos. An inline
+    item without a position becomes a file-level one.
     """
+    keys = file_keys(outcomes)
     items = _exploded(outcomes, "reviewed").where(F.col("decision") != DROP)
-    placed = items.join(positions.select(*FILE_KEYS, "line", "diff_pos"), [*FILE_KEYS, "line"], "left")
+    placed = items.join(positions.select(*keys, "line", "diff_pos"), [*keys, "line"], "left")
     inline = F.col("decision") == INLINE
     zero = F.lit(0).cast("bigint")
     return placed.select(
-        *FILE_KEYS,
+        *keys,
         "item_idx",
         F.concat(F.lit(RULE_PREFIX), "category").alias("rule"),
         severity_from_confidence(F.col("confidence")).alias("severity"),

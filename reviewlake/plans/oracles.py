@@ -395,6 +395,15 @@ FROM embedded WHERE length(embedding_text) % 5 <> 0""",
     "review_bodies": _REVIEW_TEXTS,
     "reviews_written": _REVIEW_TEXTS,
     "review_counts": f"{_REVIEWS} SELECT repo_full_name, pr_number, n_comments, n_rule, n_model FROM grouped",
+    "two_revisions": f"""{_GO_FOUND}, heads AS (
+    SELECT k, unnest([md5(concat('h', k)), md5(concat('again', md5(concat('h', k))))]) AS commit_id FROM files)
+SELECT repo_full_name, pr_number, commit_id, count(*) AS n_comments, count(*) AS n_rule
+FROM found JOIN heads ON k = pr_number GROUP BY repo_full_name, pr_number, commit_id""",
+    "model_filters": f"""{_GO_FOUND}
+SELECT repo_full_name, k AS pr_number, path, CAST(file_idx AS INTEGER) AS file_idx, 'llm-logic' AS rule, 'error' AS severity,
+       CAST(1 AS BIGINT) AS line, CAST(0 AS BIGINT) AS diff_pos
+FROM (SELECT *, unnest(CASE WHEN k % 3 = 0 THEN [0, 3] ELSE [0] END) AS file_idx FROM files)
+WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%'""",
     "stream_reviews": f"""{_GO_FOUND}
 SELECT repo_full_name, pr_number, md5(concat('h', pr_number)) AS head_sha, 'REQUEST_CHANGES' AS event,
        count(*) AS n_comments, count(*) AS n_rule, CAST(0 AS BIGINT) AS n_model

@@ -336,12 +336,34 @@ def reviews_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_reviews(tables.read_table(spark, "reviews", path, "json"))
 
 
+def two_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part pull request opened and updated within one run: a review for either revision."""
+
+    def both(df: DataFrame, column: str = "head_sha") -> DataFrame:
+        return df.unionByName(corpus.second_revision(df, column))
+
+    jobs, diffs = both(corpus.go_jobs(spark, sf_dir)), both(corpus.go_diffs(spark, sf_dir))
+    made = plan.reviews(jobs, diffs, both(corpus.go_sources(spark, sf_dir), "ref"))
+    return made.select("repo_full_name", "pr_number", "commit_id", "n_comments", "n_rule")
+
+
+def model_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model findings of the part pull requests: none on excluded, foreign or missing files, one per diff entry."""
+    sources = corpus.go_sources(spark, sf_dir)
+    jobs = plan.configured_jobs(corpus.go_jobs(spark, sf_dir), sources, corpus.go_configs(spark, sf_dir))
+    outcomes = mod.stage_outcomes(corpus.go_responses(spark, sf_dir))
+    found = plan.model_stream(outcomes, jobs, corpus.wider_diffs(spark, sf_dir), sources)
+    return found.select("repo_full_name", "pr_number", "path", "file_idx", "rule", "severity", "line", "diff_pos")
+
+
 def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part pull requests reviewed from a stream of jobs."""
     landed = work_dir(spark, "queued")
     corpus.go_jobs(spark, sf_dir).repartition(2, "pr_number").write.parquet(landed)
+    diffs = work_dir(spark, "diffs")
+    corpus.go_diffs(spark, sf_dir).write.parquet(diffs)
     out = ReviewTables(
-        diffs=corpus.go_diffs(spark, sf_dir),
+        diffs=diffs,
         sources=corpus.go_sources(spark, sf_dir),
         configs=corpus.go_configs(spark, sf_dir),
         responses=None,
@@ -390,6 +412,8 @@ QUERIES: dict[str, Query] = {
         review_bodies,
         review_counts,
         reviews_written,
+        two_revisions,
+        model_filters,
         stream_reviews,
     )
 }

@@ -13,9 +13,9 @@ from reviewlake.operators import diffs as dif
 from reviewlake.operators import model as mod
 from reviewlake.operators import review as rev
 from reviewlake.operators.rules import RuleSpec, gated, scan
-from reviewlake.operators.tokens import FILE_KEYS
 
-PR = list(dif.PR_KEYS)
+JOB = [*dif.PR_KEYS, dif.REVISION]
+FILE = [*JOB, "file_idx"]
 MANIFEST = "go.mod"
 LANGUAGE = "go"
 
@@ -35,10 +35,17 @@ def configured_jobs(jobs: DataFrame, sources: DataFrame, configs: DataFrame | No
     )
 
 
+def of_revision(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The rows of the jobs' revisions; a table without a revision belongs to every revision of its pull request."""
+    if dif.REVISION in rows.columns:
+        return rows.join(jobs.select(*JOB), JOB, "left_semi")
+    return rows.join(jobs.select(*JOB), list(dif.PR_KEYS))
+
+
 def changed_sources(jobs: DataFrame, diffs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Changed Go files that are not excluded, with their content at the head."""
-    files = dif.diff_files(diffs).where(F.col("language") == LANGUAGE).select(*FILE_KEYS, "path")
-    files = cfg.without_excluded(files.join(jobs, PR))
+    """Changed Go files that are not excluded, with their content at the head: what both streams review."""
+    files = dif.diff_files(diffs).where(F.col("language") == LANGUAGE).select(*FILE, "path")
+    files = cfg.without_excluded(files.join(jobs, JOB))
     content = sources.select("repo_full_name", "path", F.col("ref").alias("head_sha"), "content")
     return files.join(content, ["repo_full_name", "path", "head_sha"])
 
@@ -51,22 +58,27 @@ def rule_findings(
     only: Collection[str] | None = None,
 ) -> DataFrame:
     """Enabled findings of all rules on changed lines, numbered within the file."""
+    diffs = of_revision(diffs, jobs)
     info = dif.line_info(dif.diff_lines(diffs))
     files = changed_sources(jobs, diffs, sources)
-    scanned = scan(files.select(*FILE_KEYS, "path", "content", "go_version"), rules, only)
-    found = gated(scanned, info)
-    names = dif.diff_files(diffs).select(*FILE_KEYS, "path").join(jobs.select(*PR, "rule_flags"), PR)
-    found = cfg.only_enabled(found.join(names, list(FILE_KEYS))).drop("rule_flags")
-    in_file = Window.partitionBy(*FILE_KEYS).orderBy("place", "ord", "rule", "message")
+    scanned = scan(files.select(*FILE, "path", "content", "go_version"), rules, only, FILE)
+    found = gated(scanned, info, FILE)
+    names = dif.diff_files(diffs).select(*FILE, "path").join(jobs.select(*JOB, "rule_flags"), JOB)
+    found = cfg.only_enabled(found.join(names, FILE)).drop("rule_flags")
+    in_file = Window.partitionBy(*FILE).orderBy("place", "ord", "rule", "message")
     return found.withColumn("ord", F.row_number().over(in_file).cast("bigint")).drop("place")
 
 
-def model_stream(outcomes: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Model findings placed in the diff; only files of the diff count."""
-    files = dif.diff_files(diffs).select(*FILE_KEYS, "path")
-    positions = dif.line_positions(dif.diff_lines(diffs)).join(files, list(FILE_KEYS))
-    found = mod.model_findings(outcomes, positions)
-    return found.join(files, [*PR, "path"]).withColumnRenamed("item_idx", "ord")
+def model_stream(outcomes: DataFrame, jobs: DataFrame, diffs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Model findings placed in the diff, once per entry of the file in it.
+
+    Only files count that the rules read, too: changed, not excluded, with content.
+    """
+    diffs = of_revision(diffs, jobs)
+    files = changed_sources(jobs, diffs, sources).select(*FILE, "path")
+    positions = dif.line_positions(dif.diff_lines(diffs)).join(files, FILE)
+    entries = of_revision(outcomes, jobs).join(files, [*JOB, "path"])
+    return mod.model_findings(entries, positions).withColumnRenamed("item_idx", "ord")
 
 
 def reviews(
@@ -77,15 +89,16 @@ def reviews(
     responses: DataFrame | None = None,
     rules: Sequence[RuleSpec] | None = None,
 ) -> DataFrame:
-    """One assembled review per pull request with findings in either stream."""
+    """One assembled review per pull request and revision with findings in either stream."""
     configured = configured_jobs(jobs, sources, configs)
     merged = rule_findings(configured, diffs, sources, rules)
     if responses is not None:
-        merged = rev.merged_findings(merged, model_stream(mod.stage_outcomes(responses), diffs))
+        models = model_stream(mod.stage_outcomes(responses), configured, diffs, sources)
+        merged = rev.merged_findings(merged, models)
     else:
         merged = (
             merged.withColumn("stream", F.lit(rev.RULE_STREAM))
             .withColumn("confidence", F.lit(None).cast("double"))
             .withColumn("suggested_fix", F.lit(None).cast("string"))
         )
-    return rev.assemble_reviews(merged, jobs)
+    return rev.assemble_reviews(merged)

@@ -45,7 +45,7 @@ REVIEW_JOBS = _struct(
     base_sha=STR,
 )
 
-PR_DIFFS = _struct(repo_full_name=STR, pr_number=LONG, raw=STR)
+PR_DIFFS = _struct(repo_full_name=STR, pr_number=LONG, head_sha=STR, raw=STR)
 
 SOURCE_FILES = _struct(repo_full_name=STR, path=STR, ref=STR, content=STR)
 
@@ -84,6 +84,7 @@ MODEL_FINDINGS = T.StructType(
 MODEL_RESPONSES = _struct(
     repo_full_name=STR,
     pr_number=LONG,
+    head_sha=STR,
     path=STR,
     stage=STR,
     attempt=INT,

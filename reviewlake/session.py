@@ -38,12 +38,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; a local
-    temporary folder is used only where that setting is absent (tests).
+    temporary folder is used only where that setting is absent and the session
+    is local (tests): on a cluster other executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="reviewlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

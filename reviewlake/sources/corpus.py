@@ -200,7 +200,7 @@ def go_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("@@ -1,", F.size(lines), " +1,", F.size(lines), " @@\n"),
         F.array_join(F.transform(lines, line), ""),
     )
-    return _parts(spark, sf_dir).select("repo_full_name", "pr_number", raw.alias("raw"))
+    return _parts(spark, sf_dir).select("repo_full_name", "pr_number", "head_sha", raw.alias("raw"))
 
 
 def go_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +251,41 @@ def go_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_full_name", "ref", "c.*")
 
 
+# -- revisions and model answers of the part pull requests ---------------------
+
+#: Entries of a diff that neither stream may review: another language, and a file without content.
+_UNREAD = ("tool/x.py", "gone/g.go")
+
+
+def second_revision(df: DataFrame, column: str) -> DataFrame:
+    """The rows as they look after the pull requests were updated: another head, the same files."""
+    return df.withColumn(column, F.md5(_text("again", F.col(column))))
+
+
+def wider_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part diffs with two more entries each, and the own file a second time where key % 3 = 0."""
+
+    def entry(path: str) -> str:
+        return f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n@@ -1,0 +1,1 @@\n+x\n"
+
+    twice = F.when(F.col("pr_number") % 3 == 0, F.col("raw")).otherwise("")
+    raw = F.concat("raw", F.lit("".join(map(entry, _UNREAD))), twice)
+    return go_diffs(spark, sf_dir).withColumn("raw", raw)
+
+
+def go_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving model finding for the own file and for each file that must not be reviewed."""
+    item = '{"category": "logic", "line": 1, "message": "m", "confidence": 0.9, "decision": "summary"}'
+    answers = F.array(*(
+        F.struct(F.lit(stage).alias("stage"), F.lit(1).alias("attempt"), F.lit(f'{{"{name}": [{item}]}}').alias("content"))
+        for stage, name in (("detector", "candidates"), ("suggester", "items"), ("reviewer", "items"))
+    ))
+    paths = F.explode(F.array(F.col("path"), *map(F.lit, _UNREAD))).alias("path")
+    rows = _parts(spark, sf_dir).select("repo_full_name", "pr_number", "head_sha", paths)
+    rows = rows.select("*", F.explode(answers).alias("a"))
+    return rows.select("repo_full_name", "pr_number", "head_sha", "path", "a.*", F.lit(None).cast("string").alias("error"))
+
+
 # -- model responses from orders ----------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 import re
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from reviewlake.functions import text as tx
 from reviewlake.functions.crypto import hmac_sha256_hex
 from reviewlake.functions.globs import any_glob_regex, glob_to_regex
+from reviewlake.functions.jsonio import decode_envelope, envelope_ok
 from reviewlake.functions.languages import extension, language
+from reviewlake.schemas import DETECTOR_PAYLOAD
 
 
 def values(spark, inputs, make, schema="i int, x string"):
@@ -17,48 +20,74 @@ def values(spark, inputs, make, schema="i int, x string"):
     return [r.y for r in rows]
 
 
-def test_isolated_json(spark):
-    fix = '{"fix": "use\\n```go\\nx()\\n```"}'
-    cases = {
-        '{"a": []}': '{"a": []}',
-        '  {"a": []}  ': '{"a": []}',
-        '```json\n{"a": 1}\n```': '{"a": 1}',
-        '```\n{"a": 1}\n```': '{"a": 1}',
-        'see:\n```json\n{"a": 1}\n```\nbye': '{"a": 1}',
-        'well {"a": 1} done': '{"a": 1}',
-        "plain": "plain",
-        "one { side": "one { side",
-        "other } side": "other } side",
-        "turned } round {": "turned } round {",
-        fix: fix,
-        "```json {open": "```json {open",
-        "": "",
-    }
-    df = spark.createDataFrame(list(enumerate(cases)), "i int, raw string")
+def isolated(answer):
+    """The rule in a few lines: a fence only in front, then the outermost braces."""
+    answer = answer.strip()
+    if answer.startswith("```"):
+        rest = answer[3:].removeprefix("json")
+        if "```" in rest:
+            answer = rest[: rest.index("```")].strip()
+    first, last = answer.find("{"), answer.rfind("}")
+    return answer[first : last + 1] if 0 <= first < last else answer
+
+
+def glued(parts, n, longest, seed):
+    draw = random.Random(seed)
+    return ["".join(draw.choices(parts, k=draw.randint(0, longest))) for _ in range(n)]
+
+
+def test_isolated_json_follows_its_rule(spark):
+    parts = ["{", "}", "```", "```json", "\n", " ", "k", '"v": 3', "[]", "é", "`"]
+    inputs = glued(parts, 400, 9, 5)
+    df = spark.createDataFrame(list(enumerate(inputs)), "i int, raw string")
     rows = tx.with_isolated_json(df, "raw", "clean").orderBy("i").collect()
-    assert [r.clean for r in rows] == list(cases.values())
+    assert [r.clean for r in rows] == [isolated(x) for x in inputs]
+
+
+def test_go_version_is_the_first_directive(spark):
+    inputs = glued(["go ", "go", "\t", " ", "\n", "\r\n", "1.7", "2.30.1", "require x\n", "//"], 400, 8, 6)
+
+    def first(manifest):
+        for line in manifest.split("\n"):
+            line = line.strip()
+            if line.startswith("go ") and line[3:].split():
+                return line[3:].split()[0]
+        return ""
+
+    assert values(spark, inputs, tx.go_version) == [first(x) for x in inputs]
+
+
+@pytest.mark.parametrize("wanted", [(0, 9), (1, 22), (3, 0)])
+def test_version_at_least_compares_two_numbers(spark, wanted):
+    inputs = glued(["0", "1", "2", "3", "9", "22", ".", "rc", "beta4"], 400, 5, 7)
+
+    def number(part):
+        return int(re.match(r"\d*", part)[0] or 0)
 
+    def newer(version):
+        parts = version.removesuffix(".").split(".")
+        return len(parts) > 1 and (number(parts[0]), number(parts[1])) >= wanted
 
-def test_go_version(spark):
-    cases = {
-        "module m\n\ngo 1.22\n": "1.22",
-        "module m\ngo 1.22.0": "1.22.0",
-        "go    1.26.4": "1.26.4",
-        "\t go 1.23.0  ": "1.23.0",
-        "go 1.21\r\ngo 1.5": "1.21",
-        "// go 1.22": "",
-        "go\t1.22": "",
-        "module m\n": "",
-        "go": "",
-        "": "",
-    }
-    assert values(spark, list(cases), tx.go_version) == list(cases.values())
+    assert values(spark, inputs, lambda x: tx.version_at_least(x, *wanted)) == [newer(x) for x in inputs]
 
 
-def test_version_at_least(spark):
-    cases = {"1.22": True, "1.22.3": True, "1.23": True, "1.21": False, "2.0": True, "bad": False, "": False, "1.": False, "1.22rc1": True}
-    got = values(spark, list(cases), lambda x: tx.version_at_least(x, 1, 22))
-    assert got == list(cases.values())
+@pytest.mark.parametrize(
+    "text, ok",
+    [
+        ('{"candidates": []}', True),
+        (' {"candidates": [{"line": 4}]} ', True),
+        ('{"candidates": []}]}', False),
+        ('{"candidates": []} ]} x}', False),
+        ('{"candidates": []}], "_end": 1}', False),
+        ('{"candidates": []}{"candidates": []}', False),
+        ('{"candidates": [{"line": "4"}]}', False),
+        ("", False),
+        ("[]", False),
+    ],
+)
+def test_decoding_takes_one_whole_value(spark, text, ok):
+    df = spark.createDataFrame([(text,)], "x string").withColumn("e", decode_envelope(F.col("x"), DETECTOR_PAYLOAD))
+    assert df.select(envelope_ok(F.col("e"))).first()[0] is ok
 
 
 def test_severity_of_confidence(spark):
@@ -111,6 +140,11 @@ GLOBS = [
     ("[a-c].go", "b.go", True),
     ("[!a-c].go", "b.go", False),
     ("[^a].go", "b.go", True),
+    ("[z-a].go", "z.go", False),
+    ("[z-aq].go", "q.go", True),
+    ("[!z-a].go", "m.go", True),
+    ("d[!z-a]e", "d/e", False),
+    ("[z-a]*", "", False),
     ("{cmd,pkg}/*.go", "pkg/x.go", True),
     ("{a,b{c,d}}", "bd", True),
     ("\\*.go", "*.go", True),

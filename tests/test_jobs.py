@@ -113,11 +113,11 @@ def test_configuration(spark):
 
 
 def answers(path, detector, suggester=None, *reviewer):
-    rows = [("o/r", 1, path, "detector", 1, *detector)]
+    rows = [("o/r", 1, "h1", path, "detector", 1, *detector)]
     if suggester:
-        rows.append(("o/r", 1, path, "suggester", 1, *suggester))
+        rows.append(("o/r", 1, "h1", path, "suggester", 1, *suggester))
     for attempt, answer in enumerate(reviewer, 1):
-        rows.append(("o/r", 1, path, "reviewer", attempt, *answer))
+        rows.append(("o/r", 1, "h1", path, "reviewer", attempt, *answer))
     return rows
 
 
@@ -151,7 +151,7 @@ def test_stages(spark):
         "reviewer fails": "reviewer", "bad detector": "detector", "detector fails": "detector",
         "bad suggester": "suggester", "no suggester": "suggester",
     }
-    positions = outcomes.select(*mod.FILE_KEYS, F.lit(2).cast("bigint").alias("line"), F.lit(5).cast("bigint").alias("diff_pos"))
+    positions = outcomes.select(*mod.file_keys(outcomes), F.lit(2).cast("bigint").alias("line"), F.lit(5).cast("bigint").alias("diff_pos"))
     got = {r.path: (r.rule, r.severity, r.diff_pos, r.confidence, r.suggested_fix) for r in mod.model_findings(outcomes, positions).collect()}
     assert got == {
         "inline": ("llm-x", "error", 5, 0.9, ""),
@@ -204,7 +204,7 @@ def pull_request(spark):
     source = "package p\nfunc f() {\n\tpanic(1)\n}\n"
     raw = "diff --git a/a.go b/a.go\n--- a/a.go\n+++ b/a.go\n@@ -1,3 +1,4 @@\n package p\n func f() {\n+\tpanic(1)\n }\n"
     jobs = spark.createDataFrame([(1, "o/r", "o", "r", 1, "h1", ""), (1, "o/r", "o", "r", 2, "h2", "")], schemas.REVIEW_JOBS)
-    diffs = spark.createDataFrame([("o/r", 1, raw)], schemas.PR_DIFFS)
+    diffs = spark.createDataFrame([("o/r", 1, "h1", raw)], schemas.PR_DIFFS)
     sources = spark.createDataFrame([("o/r", "a.go", "h1", source)], schemas.SOURCE_FILES)
     item = {"category": "c", "line": 2, "message": "[x] look", "confidence": 0.8, "decision": "inline", "suggested_fix": "y()"}
     found = ('{"candidates": [{"category": "c", "line": 2, "message": "m"}]}', None)
@@ -229,6 +229,43 @@ def test_review_of_both_streams(spark):
     assert sorted(payload) == ["body", "comments", "commit_id", "event"]
 
 
+def test_two_revisions_in_one_run(spark):
+    jobs, diffs, sources, responses = pull_request(spark)
+
+    def other(df, column):
+        return df.unionByName(df.where(F.col(column) == "h1").withColumn(column, F.lit("h9")))
+
+    again = other(jobs, "head_sha"), other(diffs, "head_sha"), other(sources, "ref")
+    made = plan.reviews(*again, None, responses).orderBy("commit_id").collect()
+    assert [(r.commit_id, r.n_rule, r.n_model) for r in made] == [("h1", 1, 1), ("h9", 1, 0)]
+
+
+def test_model_stream_reviews_what_the_rules_review(spark):
+    jobs, diffs, sources, responses = pull_request(spark)
+    alone = plan.configured_jobs(jobs, sources, None)
+    outcomes = mod.stage_outcomes(responses.unionByName(responses.withColumn("path", F.lit("x.py"))))
+    twice = diffs.withColumn("raw", F.concat("raw", "raw", F.lit("diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n")))
+    assert [r.file_idx for r in plan.model_stream(outcomes, alone, twice, sources).orderBy("file_idx").collect()] == [0, 1]
+    shut = alone.withColumn("exclude_regex", F.lit("^a.*"))
+    assert plan.model_stream(outcomes, shut, diffs, sources).count() == 0
+    assert plan.model_stream(outcomes, alone, diffs, sources.where("path = 'none'")).count() == 0
+
+
+def test_reviewing_stream_sees_later_diffs_and_buries_exhausted_jobs(spark):
+    jobs, diffs, sources, _ = pull_request(spark)
+    folder, queued, checkpoint = (work_dir(spark, x) for x in ("late", "queued", "ck"))
+    diffs.limit(0).write.parquet(folder)
+    out = ReviewTables(folder, sources, None, None, work_dir(spark, "rev"), work_dir(spark, "outc"), dead_path=work_dir(spark, "dead"))
+    for k in range(5):
+        if k == 1:
+            diffs.write.mode("append").parquet(folder)
+        jobs.coalesce(1).write.mode("append").parquet(queued)
+        stream = tables.stream_table(spark, "review_jobs", queued)
+        start_reviewing(stream, out, checkpoint, available_now=True).awaitTermination()
+    assert [(r.pr_number, r.head_sha) for r in spark.read.parquet(out.reviews_path).collect()] == [(1, "h1")]
+    assert [(r.pr_number, r.attempt) for r in spark.read.parquet(out.dead_path).collect()] == [(2, 4)]
+
+
 def test_reviewing_stream_retries_and_stores_history(spark):
     jobs, diffs, sources, responses = pull_request(spark)
     queued = work_dir(spark, "queued")
