@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.session import work_dir
+
 #: Bytes of text in one Arrow batch: bounds a Python worker's memory whatever the length of texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -52,6 +54,17 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({c: object for c, kind in frame.dtypes.items() if isinstance(kind, pd.StringDtype)})
 
 
+#: Work tables hold hashes and ids: a dictionary does not pay, and small row groups keep writers small.
+_TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared work folder: it outlives lost executors and cuts the lineage."""
+    path = work_dir(df.sparkSession, label)
+    df.write.options(**_TABLE_OPTIONS).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A table of up to this many narrow rows may be broadcast (some 50 MB).
 SMALL_ROWS = 1_000_000
 
@@ -122,20 +135,31 @@ def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
 
     Only the current group is held; callers bound the size of a group beforehand.
     """
-    held: list[pd.DataFrame] = []
+    for frame in packs(frames, key, 1):
+        yield frame
+
+
+def packs(frames: Iterator[pd.DataFrame], key: str, limit: int) -> Iterator[pd.DataFrame]:
+    """Whole groups of equal key, several small ones together: as many as have squared sizes
+    of up to ``limit`` in all, and at least one. The partition is sorted by the key."""
+    rest: pd.DataFrame | None = None
     for frame in frames:
         if frame.empty:
             continue
-        keys = frame[key].to_numpy()
-        cuts = run_starts(keys)
-        if held and held[-1][key].iloc[-1] != keys[0]:
-            yield pd.concat(held) if len(held) > 1 else held[0]
-            held = []
-        ends = np.r_[cuts[1:], len(keys)]
-        for a, b in zip(cuts[:-1], ends[:-1]):
-            held.append(frame.iloc[a:b])
-            yield pd.concat(held) if len(held) > 1 else held[0]
-            held = []
-        held.append(frame.iloc[cuts[-1] :])
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        if rest is not None:
+            frame = pd.concat([rest, frame])
+        first = run_starts(frame[key].to_numpy())
+        ends = np.r_[first[1:], len(frame)].tolist()
+        begin = squares = last = 0
+        for end in ends[:-1]:  # the last group may go on in the next batch
+            square = (end - last) ** 2
+            if last > begin and squares + square > limit:
+                yield frame.iloc[begin:last]
+                begin, squares = last, 0
+            squares += square
+            last = end
+        if last > begin:
+            yield frame.iloc[begin:last]
+        rest = frame.iloc[last:]
+    if rest is not None and len(rest):
+        yield rest

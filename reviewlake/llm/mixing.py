@@ -15,8 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import fresh, if_small
-from reviewlake.session import written
+from reviewlake.llm.common import fresh, if_small, written
 
 #: Share of the entropy of equal weights that the mix reaches, and passes over a source at most.
 TARGET_ENTROPY, MAX_REPEATS = 0.98, 4.0
@@ -37,8 +36,7 @@ class Mix:
 
 def tokens(text: Column) -> Column:
     """Words between white space; 0 for null."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\s+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
 def evaluate(shares: DataFrame, exponents: list[float], budget_ratio: float) -> list[Mix]:
@@ -134,15 +132,14 @@ def mixed(
     together. Empty tables give no rows. A new column whose name is taken gets ``_``.
     """
     names = [fresh(documents, c) for c in ("pass", "block", "place")]
-    inner = {c: fresh(documents, f"mix_{c}") for c in ("s", "t", "k")}
+    inner = {c: fresh(documents, f"mix_{c}") for c in ("s", "k")}
     source, text, key = documents[source_col].cast("string"), documents[text_col].cast("string"), documents[id_col].cast("string")
     rows = documents.withColumns({
         inner["s"]: F.coalesce(F.concat(F.lit("="), source), F.lit("none")),
-        inner["t"]: tokens(text),
         inner["k"]: F.concat_ws("/", F.coalesce(key, F.lit("")), F.xxhash64(text).cast("string")),
     })
-    sized = rows.select(*(F.col(n).alias(c) for c, n in inner.items())).where("t > 0")
-    sized = written(sized.groupBy("s", "k").agg(F.sum("t").alias("t")), "mix-rows")
+    sized = rows.select(*(F.col(n).alias(c) for c, n in inner.items()), tokens(text).alias("t"))
+    sized = written(sized.groupBy("s", "k").agg(F.sum("t").alias("t")).where("t > 0"), "mix-rows")
     totals = written(sized.groupBy("s").agg(F.sum("t").alias("total")), "mix-sources")
     plan, _ = plan_budgets(totals, target_entropy, max_repeats, budget_ratio, block_tokens)
     plan = written(plan, "mix-plan")
@@ -166,18 +163,27 @@ def mixed(
     inside = inside.withColumn("earlier", before("s", "b", order="turn")).where("earlier < left")
     chosen = written(inside.select(F.col("s").alias("cs"), F.col("k").alias("ck"), F.col("p").alias("cp")), "mix-cut")
 
-    keyed = rows.select(*documents.columns, *(F.col(n) for n in inner.values()))
-    some, none = keyed.where(F.col(inner["t"]) > 0), keyed.where(F.col(inner["t"]) == 0)
     tags = {c: fresh(rows, f"mix_{c}") for c in ("ps", "blocks", "os", "ob", "op", "rank", "cut", "cs", "ck", "cp")}
-    plans = plan.select(F.col("s").alias(tags["ps"]), F.col("blocks").alias(tags["blocks"]))
-    turns = ordered.select(F.col("s").alias(tags["os"]), F.col("b").alias(tags["ob"]), F.col("p").alias(tags["op"]), F.col("rank").alias(tags["rank"]), F.col("cut").alias(tags["cut"]))
-    chosen = chosen.toDF(tags["cs"], tags["ck"], tags["cp"])
+
+    def tagged(frame: DataFrame, **columns: str) -> DataFrame:
+        return if_small(frame.select(*(F.col(old).alias(tags[new]) for new, old in columns.items())))
+
+    same = F.col(inner["s"])
+    spent = text.isNotNull() & text.rlike(r"\S")
     taken = (
-        some.join(if_small(plans), F.col(inner["s"]) == F.col(tags["ps"]))
-        .join(if_small(turns), (F.col(inner["s"]) == F.col(tags["os"])) & (F.pmod(draw(seed, inner["k"]), F.col(tags["blocks"])) == F.col(tags["ob"])))
-        .join(if_small(chosen), (F.col(inner["s"]) == F.col(tags["cs"])) & (F.col(inner["k"]) == F.col(tags["ck"])) & (F.col(tags["op"]) == F.col(tags["cp"])), "left")
-        .where(~F.col(tags["cut"]) | F.col(tags["ck"]).isNotNull())
+        rows.join(tagged(plan, ps="s", blocks="blocks"), same == F.col(tags["ps"]), "left")
+        .join(
+            tagged(ordered, os="s", ob="b", op="p", rank="rank", cut="cut"),
+            spent & (same == F.col(tags["os"])) & (F.pmod(draw(seed, inner["k"]), F.col(tags["blocks"])) == F.col(tags["ob"])),
+            "left",
+        )
+        .join(
+            tagged(chosen, cs="cs", ck="ck", cp="cp"),
+            (same == F.col(tags["cs"])) & (F.col(inner["k"]) == F.col(tags["ck"])) & (F.col(tags["op"]) == F.col(tags["cp"])),
+            "left",
+        )
+        .where(~F.coalesce(spent, F.lit(False)) | (F.col(tags["op"]).isNotNull() & (~F.col(tags["cut"]) | F.col(tags["ck"]).isNotNull())))
     )
-    new = (F.col(tags["op"]), F.col(tags["rank"]), draw(seed, tags["op"], inner["k"]))
-    zero = [F.lit(0).cast("bigint").alias(n) for n in names]
-    return taken.select(*documents.columns, *(c.alias(n) for c, n in zip(new, names))).union(none.select(*documents.columns, *zero))
+    zero = F.lit(0).cast("bigint")
+    new = (F.coalesce(tags["op"], zero), F.coalesce(tags["rank"], zero), F.when(F.col(tags["op"]).isNotNull(), draw(seed, tags["op"], inner["k"])).otherwise(zero))
+    return taken.select(*documents.columns, *(c.alias(n) for c, n in zip(new, names)))
