@@ -2,6 +2,6 @@
 
 from reviewlake.operators.rules.catalogue import default_rules
 from reviewlake.operators.rules.registry import RuleSpec
-from reviewlake.operators.rules.scan import gated, scan
+from reviewlake.operators.rules.scan import gated, scan, second_lines
 
-__all__ = ["default_rules", "RuleSpec", "gated", "scan"]
+__all__ = ["default_rules", "RuleSpec", "gated", "scan", "second_lines"]

@@ -14,7 +14,9 @@ class RuleSpec:
 
     ``when`` picks the tokens; ``line`` is the line to report, which also has
     to be a changed one. ``repeat`` gives the number of findings per token and
-    ``place`` the token position that orders the finding within its file.
+    ``place`` the token position that orders the finding within its file. Every
+    file with a finding contains ``word``, where one is named: a scan for such
+    rules alone reads no other file.
     """
 
     rule: str
@@ -24,6 +26,7 @@ class RuleSpec:
     line: Column
     place: Column | None = None
     repeat: Column | None = None
+    word: str | None = None
 
     def text(self) -> Column:
         return F.lit(self.message) if isinstance(self.message, str) else self.message

@@ -12,7 +12,7 @@ from reviewlake.operators import config as cfg
 from reviewlake.operators import diffs as dif
 from reviewlake.operators import model as mod
 from reviewlake.operators import review as rev
-from reviewlake.operators.rules import RuleSpec, gated, scan
+from reviewlake.operators.rules import RuleSpec, gated, scan, second_lines
 
 JOB = [*dif.PR_KEYS, dif.REVISION]
 FILE = [*JOB, "file_idx"]
@@ -62,9 +62,8 @@ def rule_findings(
     info = dif.line_info(dif.diff_lines(diffs))
     files = changed_sources(jobs, diffs, sources)
     scanned = scan(files.select(*FILE, "path", "content", "go_version"), rules, only, FILE)
-    found = gated(scanned, info, FILE)
-    names = dif.diff_files(diffs).select(*FILE, "path").join(jobs.select(*JOB, "rule_flags"), JOB)
-    found = cfg.only_enabled(found.join(names, FILE)).drop("rule_flags")
+    found = gated(scanned, info, FILE, second_lines(only))
+    found = cfg.only_enabled(found.join(files.select(*FILE, "path", "rule_flags"), FILE)).drop("rule_flags")
     in_file = Window.partitionBy(*FILE).orderBy("place", "ord", "rule", "message")
     return found.withColumn("ord", F.row_number().over(in_file).cast("bigint")).drop("place")
 
