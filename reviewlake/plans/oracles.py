@@ -403,6 +403,17 @@ FROM found JOIN heads ON k = pr_number GROUP BY repo_full_name, pr_number, commi
 SELECT repo_full_name, k AS pr_number, path, CAST(file_idx AS INTEGER) AS file_idx, 'llm-logic' AS rule, 'error' AS severity,
        CAST(1 AS BIGINT) AS line, CAST(0 AS BIGINT) AS diff_pos
 FROM (SELECT *, unnest(CASE WHEN k % 3 = 0 THEN [0, 3] ELSE [0] END) AS file_idx FROM files)
+WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%'""",
+    "model_pipeline": f"""{_GO_FOUND}, known AS (
+    SELECT concat('mod', p_partkey % 20) AS repo, count(*) AS n FROM part WHERE p_partkey % 10 = 0 GROUP BY ALL)
+SELECT repo_full_name, k AS pr_number, path,
+       concat('llm-', CASE WHEN p_size % 5 IN (1, 2, 4) AND p_size % 2 = 0 THEN 'alpha' ELSE 'beta' END, '-',
+              CASE WHEN p_size % 5 IN (1, 2, 4) AND p_size % 4 = 1 THEN 'large' ELSE 'small' END) AS rule,
+       CASE WHEN k % 5 = 0 THEN 'warning' ELSE 'error' END AS severity,
+       concat(least(coalesce(n, 0), 5), ' similar') AS message, CAST(1 AS BIGINT) AS line,
+       CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS diff_pos,
+       CAST(CASE WHEN k % 5 = 0 THEN 0.75 ELSE 0.9 END AS DOUBLE) AS confidence
+FROM files LEFT JOIN known ON repo = concat('mod', k % 20)
 WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%'""",
     "stream_reviews": f"""{_GO_FOUND}
 SELECT repo_full_name, pr_number, md5(concat('h', pr_number)) AS head_sha, 'REQUEST_CHANGES' AS event,

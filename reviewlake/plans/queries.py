@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from reviewlake.operators import prompts
 from reviewlake.operators import review as rev
 from reviewlake.operators import seams
 from reviewlake.plans import review as plan
+from reviewlake.plans.live import live_responses
 from reviewlake.session import work_dir, written
 from reviewlake.sources import corpus, tables
 from reviewlake.streaming.intake import start_intake
@@ -356,6 +358,39 @@ def model_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo_full_name", "pr_number", "path", "file_idx", "rule", "severity", "line", "diff_pos")
 
 
+def model_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to model findings against a fixed provider: similar findings, three stages, retries, overrides.
+
+    The provider reports how many similar findings it was shown. Its reviewer
+    answers broken JSON once where key % 3 = 0, and always where key % 5 = 0.
+    """
+
+    def provider(requests: Sequence[dict]) -> list[tuple[str | None, str | None]]:
+        out = []
+        for r in requests:
+            key = r["pr_number"]
+            if r["stage"] == "reviewer" and (key % 5 == 0 or (key % 3 == 0 and r["attempt"] == 1)):
+                out.append(('{"items": [}', None))
+                continue
+            lines = [x for x in r["user"].split("\n") if x.startswith("- ")]
+            said = f"{sum('(PR #' in x for x in lines)} similar" if r["stage"] == "detector" else lines[0].split("] ", 1)[1]
+            item = {"category": f"{r['provider']}-{r['model']}", "line": 1, "message": said, "suggested_fix": "f"}
+            if r["stage"] == "reviewer":
+                item |= {"confidence": 0.9, "decision": "summary"}
+            out.append((json.dumps({"candidates" if r["stage"] == "detector" else "items": [item]}), None))
+        return out
+
+    sources, diffs = corpus.go_sources(spark, sf_dir), corpus.go_diffs(spark, sf_dir)
+    jobs = plan.configured_jobs(corpus.go_jobs(spark, sf_dir), sources, corpus.go_configs(spark, sf_dir))
+    jobs = written(cfg.model_choice(jobs, "beta", "small", ("alpha", "beta")), "jobs")
+    known = plan.rule_findings(jobs, diffs, sources, only=["panic-outside-main"])
+    files = plan.changed_sources(jobs, diffs, sources).select(*plan.JOB, "path", "content", "repo_name", "provider", "model")
+    history = corpus.part_history(spark, sf_dir)
+    answers = live_responses(files, known, provider, history, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    found = plan.model_stream(mod.stage_outcomes(answers), jobs, diffs, sources)
+    return found.select("repo_full_name", "pr_number", "path", "rule", "severity", "message", "line", "diff_pos", "confidence")
+
+
 def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part pull requests reviewed from a stream of jobs."""
     landed = work_dir(spark, "queued")
@@ -414,6 +449,7 @@ QUERIES: dict[str, Query] = {
         reviews_written,
         two_revisions,
         model_filters,
+        model_pipeline,
         stream_reviews,
     )
 }

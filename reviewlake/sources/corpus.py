@@ -273,6 +273,22 @@ def wider_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go_diffs(spark, sf_dir).withColumn("raw", raw)
 
 
+def part_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored finding for every tenth part, so that only some repositories have any."""
+    k = F.col("pr_number")
+    rows = _parts(spark, sf_dir).where(k % 10 == 0)
+    return rows.select(
+        F.md5(_text("f", k)).alias("id"),
+        F.substring_index("repo_full_name", "/", -1).alias("repo"),
+        F.col("path").alias("file_path"),
+        F.lit("llm-logic").alias("rule"),
+        _text("finding ", k).alias("message"),
+        F.array(k % 7 + 1, F.lit(1)).cast("array<float>").alias("embedding"),
+        "pr_number",
+        F.timestamp_seconds(k).alias("created_at"),
+    )
+
+
 def go_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One surviving model finding for the own file and for each file that must not be reviewed."""
     item = '{"category": "logic", "line": 1, "message": "m", "confidence": 0.9, "decision": "summary"}'
