@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, if_small, partitions, runs
-from reviewlake.session import written
+from reviewlake.llm.common import bounded_batches, if_small, partitions, runs, written
 
 NEAREST = 20
 TABLES = 3
@@ -144,7 +143,8 @@ def nearest(
     columns are not read.
 
     A query skips candidates below the k-th best score of a bounded sample, which
-    is never above the true k-th best, so nothing of the result is lost by it.
+    is never above the true k-th best; where that leaves fewer than ``k``, it takes
+    the nearest of all it visited.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -198,8 +198,6 @@ def nearest(
         task = F.concat_ws(":", "bucket", "vector_block", "query_block").alias("task")
         return spread.select(task, F.lit(kind).alias("kind"), "id", "vec", least.alias("least"))
 
-    both = dealt(indexed, "vector", "query", 0, F.lit(0.0)).union(dealt(visits, "query", "vector", 1, F.col("least")))
-
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(frames, "task"):
             asks = group["kind"].to_numpy() == 1
@@ -219,8 +217,17 @@ def nearest(
             if hits:
                 yield pd.concat(hits)
 
-    tasks = both.repartition(partitions(spark), "task").sortWithinPartitions("task", "kind")
-    met = tasks.mapInPandas(compare, "query_id bigint, vec_id bigint, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def search(visits: DataFrame) -> DataFrame:
+        """Best score of every pair found."""
+        both = dealt(indexed, "vector", "query", 0, F.lit(0.0)).union(dealt(visits, "query", "vector", 1, F.col("least")))
+        tasks = both.repartition(partitions(spark), "task").sortWithinPartitions("task", "kind")
+        met = tasks.mapInPandas(compare, "query_id bigint, vec_id bigint, score double")
+        return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    best = written(search(visits), "neighbours")
+    full = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = written(visits.join(full, "id", "left_anti").withColumn("least", F.lit(float("-inf"))), "short")
+    if short.limit(1).count():  # queries whose visits hold fewer than k above the bound look at all they visited
+        best = best.union(search(short)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
