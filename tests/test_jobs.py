@@ -266,6 +266,32 @@ def test_reviewing_stream_sees_later_diffs_and_buries_exhausted_jobs(spark):
     assert [(r.pr_number, r.attempt) for r in spark.read.parquet(out.dead_path).collect()] == [(2, 4)]
 
 
+def test_later_batches_are_shown_the_findings_of_earlier_ones(spark):
+    jobs, diffs, sources, _ = pull_request(spark)
+    jobs = jobs.where("pr_number = 1")
+
+    def provider(requests):
+        out = []
+        for r in requests:
+            seen = sum("(PR #" in x for x in r["user"].split("\n")) if r["stage"] == "detector" else 0
+            item = {"category": "c", "line": 3, "message": f"saw {seen}", "confidence": 0.9, "decision": "inline"}
+            if r["stage"] != "detector":
+                item["message"] = r["user"].split("] ", 1)[1].split("\n")[0]
+            out.append((json.dumps({"candidates" if r["stage"] == "detector" else "items": [item]}), None))
+        return out
+
+    queued, checkpoint = work_dir(spark, "queued"), work_dir(spark, "ck")
+    every = diffs.unionByName(diffs.withColumn("pr_number", F.lit(5).cast("bigint")))
+    out = ReviewTables(every, sources, None, None, work_dir(spark, "rev"), work_dir(spark, "outc"), work_dir(spark, "hist"), provider=provider)
+    for number in (1, 5):
+        jobs.withColumn("pr_number", F.lit(number).cast("bigint")).coalesce(1).write.mode("append").parquet(queued)
+        stream = tables.stream_table(spark, "review_jobs", queued)
+        embedder = lambda texts: [[1.0, 0.0] for _ in texts]
+        start_reviewing(stream, out, checkpoint, embedder, available_now=True).awaitTermination()
+    stored = spark.read.parquet(out.history_path).orderBy("pr_number").collect()
+    assert [(r.pr_number, r.message) for r in stored] == [(1, "saw 0"), (5, "saw 1")]
+
+
 def test_reviewing_stream_retries_and_stores_history(spark):
     jobs, diffs, sources, responses = pull_request(spark)
     queued = work_dir(spark, "queued")
