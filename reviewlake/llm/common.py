@@ -49,6 +49,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A small result on the driver, moved by Arrow whatever the session's settings."""
+    return df.toArrow().to_pandas()
+
+
 def plain(frame: pd.DataFrame) -> pd.DataFrame:
     """Text columns as Python objects: Arrow takes those in one piece whatever they were put together from."""
     return frame.astype({c: object for c, kind in frame.dtypes.items() if isinstance(kind, pd.StringDtype)})
@@ -135,13 +140,12 @@ def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
 
     Only the current group is held; callers bound the size of a group beforehand.
     """
-    for frame in packs(frames, key, 1):
-        yield frame
+    yield from packs(frames, key, 1)
 
 
-def packs(frames: Iterator[pd.DataFrame], key: str, limit: int) -> Iterator[pd.DataFrame]:
-    """Whole groups of equal key, several small ones together: as many as have squared sizes
-    of up to ``limit`` in all, and at least one. The partition is sorted by the key."""
+def packs(frames: Iterator[pd.DataFrame], key: str, limit: int, text: str | None = None, letters: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """Whole groups of equal key, several small ones together, at least one: as many as have squared
+    sizes of up to ``limit`` and up to ``letters`` characters of ``text``. The partition is sorted by the key."""
     rest: pd.DataFrame | None = None
     for frame in frames:
         if frame.empty:
@@ -150,10 +154,11 @@ def packs(frames: Iterator[pd.DataFrame], key: str, limit: int) -> Iterator[pd.D
             frame = pd.concat([rest, frame])
         first = run_starts(frame[key].to_numpy())
         ends = np.r_[first[1:], len(frame)].tolist()
+        read = np.r_[0, np.cumsum(frame[text].map(len))].tolist() if text else [0] * (len(frame) + 1)
         begin = squares = last = 0
         for end in ends[:-1]:  # the last group may go on in the next batch
             square = (end - last) ** 2
-            if last > begin and squares + square > limit:
+            if last > begin and (squares + square > limit or read[end] - read[begin] > letters):
                 yield frame.iloc[begin:last]
                 begin, squares = last, 0
             squares += square

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.session import written
+from reviewlake.llm.common import written
 
 MAX_ROUNDS = 60
 

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, fresh
-from reviewlake.session import written
+from reviewlake.llm.common import bounded_batches, fresh, written
 
 #: Words of an item in one window.
 WINDOW = 10

@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bounded_batches, mix, partitions, pieces, plain, run_starts, runs
+from reviewlake.llm.common import bounded_batches, mix, packs, partitions, pieces, run_starts
 
 #: Shingles of the texts in a block, and the least a text counts for.
-BLOCK_WEIGHT, LEAST_WEIGHT = 300_000, 150
+BLOCK_WEIGHT, LEAST_WEIGHT = 150_000, 300
+#: Pairs of one comparison, over several small components.
+PAIRS = 1 << 18
 #: Shingles signed at a time: the minima of a slice are taken in cache.
 SLICE = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
@@ -61,28 +63,35 @@ class Banding:
             last = max(first + 1, int(np.searchsorted(ends, begin + SLICE, side="right")))
             part = short[begin : int(ends[last - 1])]
             starts = ends[first:last] - counts[first:last] - begin
+            value = np.empty_like(part)
             for band in range(self.bands):
                 key = np.full(last - first, band, dtype=np.uint64)
                 for k in range(band * self.rows, (band + 1) * self.rows):
-                    key = mix(key ^ np.minimum.reduceat(part * factor[k] + offset[k], starts))
+                    np.multiply(part, factor[k], out=value)
+                    np.add(value, offset[k], out=value)
+                    key = mix(key ^ np.minimum.reduceat(value, starts))
                 out[first:last, band] = key
             first = last
         return out.view(np.int64)
 
 
 def windows(values: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``width`` values inside each text, and their numbers; a shorter
-    text that is not empty is one window."""
-    counts = np.where(lengths >= width, lengths - width + 1, np.minimum(lengths, 1))
-    padded = np.r_[values, np.zeros(width, dtype=np.uint64)]
+    """Hashes of the windows of ``width`` values inside each text, and their numbers.
+
+    A text has as many hashes as values: where no whole window begins, its first one
+    is repeated, which changes neither a set nor a minimum. A text shorter than a
+    window is one window of all its values.
+    """
     starts = np.cumsum(lengths) - lengths
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    out = pieces(padded, len(values), width, _BASE)[at]
-    few = np.flatnonzero((lengths > 0) & (lengths < width))
-    where = np.cumsum(counts) - counts
-    for i in few:  # only its own values
-        out[where[i]] = pieces(values[starts[i] : starts[i] + lengths[i]], 1, int(lengths[i]), _BASE)[0]
-    return out, counts
+    out = pieces(np.r_[values, np.zeros(width, dtype=np.uint64)], len(values), width, _BASE)
+    for i in np.flatnonzero((lengths > 0) & (lengths < width)):  # only its own values
+        out[starts[i]] = pieces(values[starts[i] : starts[i] + lengths[i]], 1, int(lengths[i]), _BASE)[0]
+    spare = np.minimum(lengths, width - 1) - (lengths < width)
+    spare = np.maximum(spare, 0)
+    ends = starts + lengths
+    at = np.repeat(ends - np.cumsum(spare), spare) + np.arange(int(spare.sum()))
+    out[at] = np.repeat(out[np.minimum(starts, max(len(out) - 1, 0))], spare) if len(out) else out
+    return out, lengths
 
 
 def candidates(keys: DataFrame) -> DataFrame:
@@ -109,58 +118,78 @@ def blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sizes of the intersections of all pairs of ``n`` sets, given as (row, hash) without repeats."""
-    order = np.argsort(hashes, kind="stable")
-    rows, hashes = rows[order], hashes[order]
-    first = run_starts(hashes)
+def pair_counts(group: np.ndarray, row: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets in each group, one square after the other.
+
+    The sets are given as (group, row in the group, hash) without repeats; ``n`` has
+    the number of sets of each group. Hashes that few sets share are counted pair by
+    pair, those that many share as products of incidence tables.
+    """
+    offset = np.cumsum(n * n) - n * n
+    out = np.zeros(int((n * n).sum()), dtype=np.float32)
+    order = np.lexsort((hashes, group))
+    group, row, hashes = group[order], row[order], hashes[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])] if len(hashes) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
     length = np.diff(np.r_[first, len(hashes)])
-    out = np.zeros(n * n)
-    dense = max(8, n // 16)
-    for r in np.unique(length[(length > 1) & (length <= dense)]):
+    limit = 64
+    for r in np.unique(length[(length > 1) & (length <= limit)]):
         some = first[length == r]
-        step = max(1, (1 << 21) // int(r * r))
+        step = max(1, (1 << 18) // int(r * r))
         for i in range(0, len(some), step):
-            members = rows[some[i : i + step, None] + np.arange(r)]
-            pair = (members[:, :, None] * n + members[:, None, :]).reshape(-1)
-            if 4 * len(pair) > n * n:
-                out += np.bincount(pair, minlength=n * n)
+            begin = some[i : i + step]
+            members, g = row[begin[:, None] + np.arange(r)], group[begin]
+            pair = (offset[g][:, None, None] + members[:, :, None] * n[g][:, None, None] + members[:, None, :]).reshape(-1)
+            if 4 * len(pair) > len(out):
+                out += np.bincount(pair, minlength=len(out)).astype(np.float32)
             else:
-                np.add.at(out, pair, 1)
-    out = out.reshape(n, n)
-    wide = np.flatnonzero(length > dense)
-    for i in range(0, len(wide), 2048):
-        some = wide[i : i + 2048]
-        table = np.zeros((n, len(some)), dtype=np.float32)
-        for c, k in enumerate(some):
-            table[rows[first[k] : first[k] + length[k]], c] = 1
-        out += table @ table.T
+                np.add.at(out, pair, np.float32(1))
+    wide = np.flatnonzero(length > limit)
+    for g in np.unique(group[first[wide]]):
+        mine = wide[group[first[wide]] == g]
+        square = out[offset[g] : offset[g] + n[g] ** 2].reshape(n[g], n[g])
+        for i in range(0, len(mine), 1024):
+            some = mine[i : i + 1024]
+            table = np.zeros((n[g], len(some)), dtype=np.float32)
+            for c, k in enumerate(some):
+                table[row[first[k] : first[k] + length[k]], c] = 1
+            square += table @ table.T
     return out
 
 
-def similar(sets: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of texts have a Jaccard similarity of ``threshold`` or more (symmetric, without the diagonal)."""
+def similar(sets: tuple[np.ndarray, np.ndarray], n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``i, j`` of the texts of the same group whose Jaccard similarity is ``threshold`` or more.
+
+    ``sets`` has the shingles of the texts, group after group of ``n`` texts; every
+    pair is given in both orders.
+    """
     hashes, counts = sets
-    n = len(counts)
-    owner = np.repeat(np.arange(n), counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])] if len(owner) else np.zeros(0, dtype=bool)
-    owner, hashes = owner[new], hashes[new]
-    size = np.bincount(owner, minlength=n)
-    common = overlaps(owner, hashes, n)
-    union = size[:, None] + size[None, :] - common
-    near = (common / np.maximum(union, 1) >= threshold) & (common > 0)
-    np.fill_diagonal(near, False)
-    return near
-
-
-def local_roots(near: np.ndarray) -> np.ndarray:
-    """The smallest position in each position's component."""
-    label = np.arange(len(near))
+    if len(owner):
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]
+        owner, hashes = owner[new], hashes[new]
+    group_of = np.repeat(np.arange(len(n)), n)
+    begin = np.cumsum(n) - n
+    size = np.bincount(owner, minlength=len(counts))
+    common = pair_counts(group_of[owner], owner - begin[group_of[owner]], hashes, n)
+    at = np.flatnonzero(common)
+    start = np.cumsum(n * n) - n * n
+    g = np.searchsorted(start, at, side="right") - 1
+    i, j = np.divmod(at - start[g], n[g])
+    i, j = i + begin[g], j + begin[g]
+    shared = common[at].astype(np.float64)
+    near = (shared / (size[i] + size[j] - shared) >= threshold) & (i != j)
+    return i[near], j[near]
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position in each position's component, from links in both orders."""
+    label = np.arange(n)
     while True:
-        reach = np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near))
-        new = np.minimum(label, reach)
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
@@ -173,35 +202,37 @@ def verify(members: DataFrame, shingler: Shingler, threshold: float) -> DataFram
     ``members`` has ``node, root, block, blocks, copies, text``. Returns per block
     pair and node with a similar one: ``node``, ``low`` (the smallest node it is
     connected to there), ``links`` (copies of similar nodes met there, each pair of
-    nodes in exactly one place) and ``blocks``.
+    nodes in exactly one place) and ``blocks``. Members are one row per node.
     """
     spark = members.sparkSession
     bounded_batches(spark)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = members.select("*", other).select(
         F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        "node", "block", "blocks", "copies", "text",
+        (F.col("block") != F.col("other")).alias("cross"), "node", "block", "blocks", "copies", "text",
     )
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(frames, "task"):
-            group = group.drop_duplicates("node").sort_values("node")
-            if len(group) < 2:
+        for frame in packs(frames, "task", PAIRS, "text"):
+            begin = run_starts(frame["task"].to_numpy())
+            n = np.diff(np.r_[begin, len(frame)])
+            if (n < 2).all():
                 continue
-            near = similar(shingler(group["text"].tolist()), threshold)
-            block = group["block"].to_numpy()
-            if block.min() != block.max():  # pairs inside a block meet in its own task
-                near &= block[:, None] != block[None, :]
-            if not near.any():
+            block, node = frame["block"].to_numpy(), frame["node"].to_numpy()
+            cross = frame["cross"].to_numpy()
+            i, j = similar(shingler(frame["text"].tolist()), n, threshold)
+            other = ~cross[i] | (block[i] != block[j])  # pairs inside a block meet in its own task
+            i, j = i[other], j[other]
+            if not len(i):
                 continue
-            node = group["node"].to_numpy()
-            linked = near.any(axis=1)
-            yield plain(pd.DataFrame({
-                "node": node[linked],
-                "low": node[local_roots(near)][linked],
-                "links": (near @ group["copies"].to_numpy(dtype=np.float64)).astype(np.int64)[linked],
-                "blocks": group["blocks"].to_numpy()[linked],
-            }))
+            root = local_roots(len(frame), i, j)
+            low = np.full(len(frame), np.iinfo(np.int64).max)
+            np.minimum.at(low, root, node)
+            links = np.bincount(i, weights=frame["copies"].to_numpy()[j].astype(float), minlength=len(frame))
+            linked = np.unique(i)
+            yield pd.DataFrame({
+                "node": node[linked], "low": low[root][linked], "links": links[linked].astype(np.int64), "blocks": frame["blocks"].to_numpy()[linked],
+            })
 
     dealt = pairs.repartition(partitions(spark), "task").sortWithinPartitions("task")
     return dealt.mapInPandas(compare, "node bigint, low bigint, links bigint, blocks int")

@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, chunks, fresh, if_small, mix, pieces
+from reviewlake.llm.common import bounded_batches, chunks, fresh, if_small, mix, pieces, written
 from reviewlake.llm.components import connected_components
 from reviewlake.llm.minhash import Banding, Shingler, blocks, candidates, verify, windows
-from reviewlake.session import written
 
 WORDS = 5
 THRESHOLD = 0.8
 #: Pairs at the threshold that share a band, and hash functions allowed for it.
 RECALL, HASHES = 0.99999, 256
 #: Bytes of text hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0xD6E8FEB86659FD93
 _SEPARATES = np.array([not (b >= 0x80 or chr(b).isalnum()) for b in range(256)])
 
@@ -112,9 +111,10 @@ def similarity_classes(
     members = written(blocks(nodes.join(found, "node")), "members")
     texts = documents.select(documents[id_col].alias("id"), documents[text_col].cast("string").alias("text"))
     chosen = members.select(F.col("node").alias("known"), "root", "block", "blocks", "copies", "least_id")
-    one = texts.join(
-        if_small(chosen), (F.xxhash64("text") == F.col("known")) & F.col("id").eqNullSafe(F.col("least_id"))
-    ).withColumnRenamed("known", "node")
+    one = texts.join(if_small(chosen), (F.xxhash64("text") == F.col("known")) & F.col("id").eqNullSafe(F.col("least_id")))
+    if known.groupBy("id", "node").count().where("count > 1").limit(1).count():  # whole rows are repeated
+        one = one.dropDuplicates(["known"])
+    one = one.withColumnRenamed("known", "node")
     checked = written(verify(one, shingler(width), threshold), "checked")
 
     several = checked.where("blocks > 1").select(F.col("node").alias("a"), F.col("low").alias("b"))

@@ -81,14 +81,13 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: lines before and after, and a digest of the text left."""
     documents = table(spark, sf_dir, "documents")
-    left = line_dedup.drop_repeated_lines(documents.withColumn("before", F.col("text")))
 
     def lines(text: str) -> F.Column:
-        return F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("bigint")
+        breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+        return F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(breaks + 1).cast("bigint")
 
-    return left.select(
-        "doc_id", lines("before").alias("n_lines"), lines("text").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
-    )
+    left = line_dedup.drop_repeated_lines(documents.select("doc_id", "text", lines("text").alias("n_lines")))
+    return left.select("doc_id", "n_lines", lines("text").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bounded_batches, partitions
-from reviewlake.session import work_dir, written
+from reviewlake.llm.common import bounded_batches, partitions, written
+from reviewlake.session import work_dir
 
 #: Payloads of fewer bytes are always stored again.
 MIN_REVISIT_BYTES = 0
