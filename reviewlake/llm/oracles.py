@@ -26,6 +26,20 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+# Base 32 of a SHA-1: five hexadecimal digits are four letters.
+_WARC = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+parts AS (SELECT r, i, ('0x' || substr(hex, i * 5 + 1, 5))::INTEGER AS v FROM p, range(8) t(i)),
+digest AS (
+  SELECT r, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (15 - 5 * j)) & 31)::BIGINT + 1, 1), '' ORDER BY i, j) AS d
+  FROM parts, range(4) u(j) GROUP BY r),
+firsts AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN digest USING (r) JOIN firsts USING (hex)
+"""
+
 
 def _licenses() -> str:
     rows, _ = prepared(TEMPLATES, THRESHOLD)
@@ -57,4 +71,5 @@ SELECT doc_id, license, coalesce(dice, 0)::DOUBLE AS dice, coalesce(licenses, ''
 ORACLES: dict[str, str] = {
     "op5_decontaminate": _DECONTAMINATE,
     "op6_licenses": _licenses(),
+    "op10_warc": _WARC,
 }
