@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, fold
+from reviewlake.llm.common import bounded_batches, collected, fold
 
 #: Labelled rows of each label that are learned from, about: those of smallest hash.
 MAX_LABELLED = 3000
@@ -34,8 +34,8 @@ MAX_LABELLED = 3000
 STEMS = range(4, 8)
 #: Toxic texts with a term before it counts as evidence.
 MIN_SUPPORT = 4
-#: Strength from which a learned term counts as an insult.
-MIN_STRENGTH = 0.7
+#: Strength from which a learned term counts as an insult; from which a word supports a beginning; words it takes.
+MIN_STRENGTH, MIN_EVIDENCE, STEM_WORDS = 1.8, 0.7, 3
 SEED_STRENGTH = 4.0
 
 # Seed words of each class.
@@ -174,19 +174,17 @@ class Model:
 
     words: dict[str, float]
     stems: dict[str, float]
-    weights: tuple[float, ...] = (-4.0, 1.2, 0.6, 0.3)
+    weights: tuple[float, ...] = (-4.0, 1.2, 0.6, 0.3, 0.3)
 
     def classify(self, word: str) -> tuple[int, float]:
-        """Class and strength of a word: its own evidence first, then its longest known beginning, then the seeds."""
-        strength = self.words.get(word)
-        if strength is None:
-            for n in reversed(STEMS):
-                if n <= len(word) and (strength := self.stems.get(word[:n])) is not None:
-                    break
-        if strength:
-            return INSULT, strength
-        kind = SEEDS.get(word, OTHER)
-        return (kind, 0.0) if kind == INSULT and strength is not None else (kind, SEED_STRENGTH)
+        """Class and strength of a word: the strongest of its own evidence and its beginnings', else the
+        seeds. From the whole word to shorter beginnings, one known as clean ends the search."""
+        strength = 0.0
+        for known in (self.words.get(word), *(self.stems.get(word[:n]) for n in reversed(STEMS) if n <= len(word))):
+            if known == 0.0:
+                return SEEDS.get(word, OTHER) if SEEDS.get(word) != INSULT else OTHER, SEED_STRENGTH
+            strength = max(strength, known or 0.0)
+        return (INSULT, strength) if strength else (SEEDS.get(word, OTHER), SEED_STRENGTH)
 
 
 class Lexicon(dict):
@@ -209,13 +207,15 @@ class Scorer:
         self.model, self.lexicon = model, Lexicon(model)
         self.moves, self.gains = machine()
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Constant, log of the summed scores, largest clause score, log of the matched clauses."""
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Constant, log of the summed scores, largest clause score, log of the matched clauses,
+        log of the scores per hundred words."""
         total = largest = 0.0
-        matched = 0
+        matched = words = 0
         lexicon, moves, gains = self.lexicon, self.moves, self.gains
         for clause in _CLAUSE.split((text or "").lower()):
             read = [lexicon[w] for w in _WORD.findall(clause)]
+            words += len(read)
             if not any(kind == INSULT or kind == VIOLENT for kind, _ in read):
                 continue
             state, score = 0, 0.0
@@ -228,20 +228,20 @@ class Scorer:
                 total += score
                 largest = max(largest, score)
                 matched += 1
-        return 1.0, float(np.log1p(total)), min(largest, 10.0), float(np.log1p(matched))
+        return 1.0, float(np.log1p(total)), min(largest, 10.0), float(np.log1p(matched)), float(np.log1p(100 * total / max(words, 1)))
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, start: tuple[float, ...], ridge: float = 1.0) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps, drawn to ``start``."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: tuple[float, ...], ridge: float = 1.0) -> tuple[float, ...]:
+    """Weighted ridge logistic regression by Newton steps, drawn to ``start``."""
     w = origin = np.array(start)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * (w - origin)
-        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        slope = x.T @ (weight * (p - y)) + ridge * (w - origin)
+        change = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
         w = w - change
         if abs(change).max() < 1e-6:
             break
@@ -251,7 +251,7 @@ def logistic(x: np.ndarray, y: np.ndarray, start: tuple[float, ...], ridge: floa
 def sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Texts and labels to learn from: about ``max_labelled`` of each label by hash, none with crc32 mod 3 = 1.
 
-    The drawn labels are few by that bound and are broadcast, so documents are not shuffled.
+    ``weight`` says how many labelled rows a drawn one stands for. The drawn labels are few by that bound and are broadcast, so documents are not shuffled.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         (fold(F.col("id")) != 1) & F.col("toxic").isin(0, 1)
@@ -262,15 +262,18 @@ def sample(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     )
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30))
     drawn = known.where(draw / float(1 << 30) < share).withColumn("half", F.pmod(draw, F.lit(2)).cast("int"))
+    drawn = drawn.withColumn("weight", F.greatest(F.lit(1.0), 1 / share))
     texts = documents.select(documents["doc_id"].alias("id"), documents["text"].cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(drawn), "id").select("text", "toxic", "half")
+    return texts.join(F.broadcast(drawn), "id").select("text", "toxic", "half", "weight")
 
 
 def learn_lexicon(counted: pd.DataFrame) -> Model:
     """Insults from term counts ``t`` in toxic and ``c`` in clean texts; the term "" counts the texts.
 
-    The strength of a term is its log ratio less two standard errors. A term with
-    evidence but little strength is known as no insult.
+    The strength of a term is its log ratio less two standard errors. A term is
+    known as clean if even the ratio plus two standard errors is weak. A beginning
+    counts where at least ``STEM_WORDS`` different telling words have it, which one
+    inflected insult has and a single word has not.
     """
     model = Model({}, {})
     whole = counted[counted["term"] == ""]
@@ -278,11 +281,16 @@ def learn_lexicon(counted: pd.DataFrame) -> Model:
     if not toxic or not clean:
         return model
     t, c = counted["t"] + 0.5, counted["c"] + 0.5
-    strength = np.log(t / (toxic + 1)) - np.log(c / (clean + 1)) - 2 * np.sqrt(1 / t + 1 / c)
-    for term, value in zip(counted["term"], strength):
-        if term:
-            group = model.stems if term.endswith("*") else model.words
-            group[term.rstrip("*")] = float(value) if value >= MIN_STRENGTH else 0.0
+    ratio, error = np.log(t / (toxic + 1)) - np.log(c / (clean + 1)), 2 * np.sqrt(1 / t + 1 / c)
+    terms = counted["term"].tolist()
+    telling = [w for w, r, e in zip(terms, ratio, error) if w and not w.endswith("*") and r - e >= MIN_EVIDENCE]
+    shared = Counter(w[:n] for w in telling for n in STEMS if n <= len(w))
+    for term, r, e in zip(terms, ratio, error):
+        group, name = (model.stems, term[:-1]) if term.endswith("*") else (model.words, term)
+        if term and r + e < MIN_STRENGTH:
+            group[name] = 0.0
+        elif term and r - e >= MIN_STRENGTH and (group is model.words or shared[name] >= STEM_WORDS):
+            group[name] = float(r - e)
     return model
 
 
@@ -307,12 +315,11 @@ def learn(rows: DataFrame) -> Model:
         return F.sum(F.when((F.col("toxic") == toxic) & F.col("half").isin(*halves), F.col("n")).otherwise(0))
 
     columns = {f"{name}{'' if len(h) > 1 else h[0]}": number(y, *h) for name, y in (("t", 1), ("c", 0)) for h in ((0, 1), (0,), (1,))}
-    counted = (
+    counted = collected(
         rows.mapInPandas(terms, "term string, toxic int, half int, n bigint")
         .groupBy("term")
         .agg(*(c.alias(name) for name, c in columns.items()))
         .where((F.col("t") >= MIN_SUPPORT) | (F.col("term") == ""))
-        .toPandas()
     )
     parts = [
         learn_lexicon(counted[["term", f"t{h}", f"c{h}"]].set_axis(["term", "t", "c"], axis=1).query(f"t >= {MIN_SUPPORT} or term == ''"))
@@ -324,12 +331,12 @@ def learn(rows: DataFrame) -> Model:
         for frame in frames:
             if len(frame):
                 x = np.array([scorers[1 - h].features(t) for t, h in zip(frame["text"], frame["half"])])
-                yield pd.DataFrame(x, columns=list("abcd")).assign(y=frame["toxic"].to_numpy())
+                yield pd.DataFrame(x, columns=list("abcde")).assign(y=frame["toxic"].to_numpy(), w=frame["weight"].to_numpy())
 
     model = learn_lexicon(counted)
-    measured = rows.mapInPandas(measure, "a double, b double, c double, d double, y int").toPandas()
+    measured = collected(rows.mapInPandas(measure, "a double, b double, c double, d double, e double, y int, w double"))
     if measured["y"].nunique() == 2:
-        model.weights = logistic(measured[list("abcd")].to_numpy(), measured["y"].to_numpy(dtype=float), model.weights)
+        model.weights = logistic(measured[list("abcde")].to_numpy(), measured["y"].to_numpy(dtype=float), measured["w"].to_numpy(), model.weights)
     return model
 
 
@@ -349,7 +356,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         scorer = Scorer(shared.value)
         weights = np.array(scorer.model.weights)
         for texts in batches:
-            x = np.array([scorer.features(t) for t in texts]).reshape(-1, 4)
+            x = np.array([scorer.features(t) for t in texts]).reshape(-1, 5)
             z = np.clip(x @ weights, -30, 30)
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "clauses": np.rint(np.expm1(x[:, 3])).astype("int64")})
 
