@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, chunks, fold, plain, run_starts
+from reviewlake.llm.common import bounded_batches, chunks, collected, fold, plain, run_starts
 
 #: Bytes of context and byte together in the longest context.
 WIDTH = 5
 #: Texts of each language the trees are fitted on, about: those of smallest hash.
 MAX_TEXTS = 1000
 #: Bytes scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _PAD = b"\0" * (WIDTH - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,7 +192,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     yield plain(pd.DataFrame({"lang": lang, "key": keys.astype(np.int64), "n": number}))
 
     windows = rows.where(draw < share).mapInPandas(count, "lang string, key bigint, n bigint")
-    found = windows.groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    found = collected(windows.groupBy("lang", "key").agg(F.sum("n").alias("n")))
     groups = {lang: g.sort_values("key") for lang, g in found.groupby("lang")}
     languages = sorted(groups)
     if not languages:
