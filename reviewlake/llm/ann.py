@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, if_small, partitions, runs, written
+from reviewlake.llm.common import bounded_batches, collected, if_small, partitions, runs, written
 
 NEAREST = 20
 TABLES = 3
@@ -161,7 +161,7 @@ def nearest(
     asked = rows.where(queries).distinct()
 
     draw = F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < min(1.0, SAMPLE_ROWS / lengths["count"])).toPandas()
+    drawn = collected(rows.where(draw < min(1.0, SAMPLE_ROWS / lengths["count"])))
     sample = spark.sparkContext.broadcast((drawn["id"].to_numpy(), matrix(drawn["vec"])))
     total = lengths["count"]
 
