@@ -59,7 +59,7 @@ FURTHER = (
 )
 RULES = BASE + FURTHER
 #: Bytes scanned at a time; a longer text is scanned alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=4)
