@@ -99,9 +99,15 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     h = h + _GOLDEN
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return h ^ (h >> np.uint64(31))
+    moved = h >> np.uint64(30)
+    h ^= moved
+    h *= _MIX1
+    np.right_shift(h, np.uint64(27), out=moved)
+    h ^= moved
+    h *= _MIX2
+    np.right_shift(h, np.uint64(31), out=moved)
+    h ^= moved
+    return h
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -167,6 +167,18 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, weight):
     assert full == {i for i, (t, w) in enumerate(zip(texts, want)) if t == w or w.strip()}
 
 
+def test_near_lines_share_a_band_as_often_as_promised():
+    banding = minhash.Banding.choose(line_dedup.THRESHOLD, line_dedup.RECALL, line_dedup.HASHES)
+    assert 1 - (1 - 0.8**banding.rows) ** banding.bands >= 0.998
+    draw = np.random.default_rng(4)
+    met = 0
+    for _ in range(1000):
+        common, own = draw.integers(0, 1 << 63, 80, dtype=np.uint64), draw.integers(0, 1 << 63, 20, dtype=np.uint64)
+        keys = banding.keys(np.r_[common, own[:10], common, own[10:]], np.array([90, 90]))
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 995
+
+
 def test_line_dedup_of_odd_rows(spark):
     line = "this line is long enough to count"
     frame = docs(spark, [line, line, line, line + "\nmore"], [2, 2, None, 1])
