@@ -86,7 +86,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
         return F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(breaks + 1).cast("bigint")
 
-    left = line_dedup.drop_repeated_lines(documents.select("doc_id", "text", lines("text").alias("n_lines")))
+    left = line_dedup.drop_repeated_lines(documents.select("doc_id", "text", lines("text").alias("n_lines")), min_chars=1)
     return left.select("doc_id", "n_lines", lines("text").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -187,6 +187,20 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.drop_repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines_are_deduplicated_by_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from reviewlake.llm.queries import op8_line_dedup
+
+    texts = ["Menu\nfirst text\n\n\r\nx", " menu \nread more now\n\n\r\nX", "menus\nread more now!", "y\nx", "x"]
+    want = ["Menu\nfirst text\n\n\r\nx", "read more now\n\n\r", "menus", "y", ""]
+    frame = docs(spark, texts)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text_sha256 for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(want)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
+    assert left == {i: t for i, t in enumerate(want) if t}
+
+
 # -- neighbours ----------------------------------------------------------------
 
 
