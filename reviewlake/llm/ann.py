@@ -13,7 +13,7 @@ block of queries, so a crowded bucket is many tasks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, erf, log
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reviewlake.llm.common import bounded_batches, collected, if_small, partitions, runs, written
+from reviewlake.llm.common import bounded_batches, collected, if_small, partitions, run_starts, runs, written
 
 NEAREST = 20
 TABLES = 3
@@ -106,12 +106,12 @@ class Hashing:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vec`` of the rows that take part: finite, not zero, of the most frequent length, with an id."""
+    """``id, vec`` of the rows that take part, each once: finite, not zero, of the most frequent length, with an id."""
     vec = F.col(vector_col).cast("array<double>")
     fine = vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     has_other = F.exists("vec", lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"), fine.alias("fine"))
-    return written(rows.where(F.col("id").isNotNull() & F.col("fine") & has_other).select("id", "vec"), "vectors")
+    return written(rows.where(F.col("id").isNotNull() & F.col("fine") & has_other).select("id", "vec").distinct(), "vectors")
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -123,6 +123,15 @@ def products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1)
 
 
+def best_of_ids(ids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Takes the scores of rows to the best score of each different id."""
+    order = np.argsort(ids, kind="stable")
+    starts = run_starts(ids[order])
+    if len(starts) == len(ids):
+        return lambda scores: scores
+    return lambda scores: np.maximum.reduceat(scores[order], starts)
+
+
 def nearest(
     df: DataFrame,
     queries: Column,
@@ -157,8 +166,8 @@ def nearest(
     hashing = Hashing.choose(lengths["count"], lengths.d, radius * (1 + 1e-12), tables)
 
     order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    vectors = rows.withColumn("n", order).where(F.col("n") <= k + 1).drop("n").distinct()
-    asked = rows.where(queries).distinct()
+    vectors = rows.withColumn("n", order).where(F.col("n") <= k + 1).drop("n")
+    asked = rows.where(queries)
 
     draw = F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1 << 30)) / float(1 << 30)
     drawn = collected(rows.where(draw < min(1.0, SAMPLE_ROWS / lengths["count"])))
@@ -173,9 +182,11 @@ def nearest(
     def visit(ids: pd.Series, vecs: pd.Series) -> pd.DataFrame:
         known, table = sample.value
         expected = max(1, round(k * len(known) / total))
+        best = best_of_ids(known)
         least, buckets = [], []
         for one, query in zip(ids.to_numpy(), matrix(vecs)):
-            scores = np.sort((table @ query)[known != one])[::-1]
+            scores = best(np.where(known == one, -np.inf, table @ query))
+            scores = np.sort(scores[scores > -np.inf])[::-1]
             least.append(scores[k - 1] - 1e-9 * abs(scores[k - 1]) if len(scores) >= k else -np.inf)
             near = scores[min(expected, len(scores)) - 1] if len(scores) else 0.0
             cosine = near / (np.linalg.norm(query) * hashing.radius)
@@ -205,11 +216,13 @@ def nearest(
                 continue
             ids, table = group["id"].to_numpy()[~asks], matrix(group["vec"][~asks])
             scores = matrix(group["vec"][asks]) @ table.T
+            best = best_of_ids(ids)
             hits = []
             for one, query, least, row in zip(group["id"][asks], matrix(group["vec"][asks]), group["least"][asks], scores):
                 row = np.where(ids == one, -np.inf, row)
-                if len(row) > k:
-                    edge = np.partition(row, -k)[-k]
+                each = best(row)
+                if len(each) > k:
+                    edge = np.partition(each, -k)[-k]
                     least = max(least, edge - 1e-9 * abs(edge))
                 near = np.flatnonzero((row >= least) & (row > -np.inf))
                 if len(near):

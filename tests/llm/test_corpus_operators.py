@@ -252,6 +252,15 @@ def test_neighbours_of_odd_rows(spark):
     assert ann.nearest(frame.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_and_ids_take_no_places_of_neighbours(spark):
+    same = [(100 + i, [2.0, 1.0]) for i in range(21)] * 21
+    many = [(50, [3.0, 1.0 + j / 100]) for j in range(30)]
+    far = [(200 + i, [1.0, i / 100]) for i in range(30)]
+    frame = embeddings(spark, [(i, v, 1, "x", 2, 3) for i, v in [(0, [1.0, 0.0]), *same, *many, *far]])
+    got = ann.nearest(frame, F.col("id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(50, 3.0), *((100 + i, 2.0) for i in range(19))]
+
+
 # -- mixing --------------------------------------------------------------------
 
 
