@@ -33,8 +33,8 @@ SUCCESS = 0.985
 BUCKET_ROWS, VECTOR_BLOCK, QUERY_BLOCK = 2048, 4096, 1024
 #: Vectors drawn by hash to tell how near a query's neighbours are.
 SAMPLE_ROWS = 16_384
-#: Partial buckets kept while a query's visits are put in order.
-BEAM = 4096
+#: Buckets of a table, about: with more rows they grow fuller, else a query would visit ever more of them.
+MOST_BUCKETS = 4096
 _SLOT_BITS, _SLOT_ZERO = 10, 512
 
 
@@ -49,8 +49,8 @@ class Hashing:
 
     @classmethod
     def choose(cls, rows: int, dimension: int, radius: float, tables: int = TABLES, seed: int = 11) -> Hashing:
-        """As many projections and as wide slots as leave about BUCKET_ROWS in a bucket."""
-        buckets = max(1.0, rows / BUCKET_ROWS)
+        """As many projections and as wide slots as leave about BUCKET_ROWS in a bucket, or MOST_BUCKETS buckets."""
+        buckets = min(max(1.0, rows / BUCKET_ROWS), MOST_BUCKETS)
         count = min(5, ceil(log(buckets) / log(4))) if buckets > 1 else 0
         width = radius * 4.13 / buckets ** (1 / count) if count else radius
         draw = np.random.default_rng(seed)
@@ -82,8 +82,14 @@ class Hashing:
 
     def visits(self, query: np.ndarray, cosine: float, success: float) -> np.ndarray:
         """Buckets one query visits over all tables: per table the most probable ones, in that
-        order, until they cover the table's part of ``success``."""
+        order, until they cover the table's part of ``success``.
+
+        The least probable partial buckets are dropped, and slots far out not looked at,
+        only as far as the rest holds more than that part.
+        """
         share = 1 - (1 - success) ** (1 / len(self.directions))
+        spare = (1 - share) / (4 * max(1, self.directions.shape[1]))
+        reach = max(4.0, (2 * log(2 / spare)) ** 0.5)  # less than ``spare`` lies beyond
         sine = self.radius * max(1e-3, (1 - cosine**2) ** 0.5)
         aimed = self.aim(query[None, :])[0]
         out = []
@@ -91,13 +97,15 @@ class Hashing:
             slots, mass = np.zeros((1, 0), dtype=np.int64), np.ones(1)
             for at, shift in zip(self.directions[t] @ aimed, self.shifts[t]):
                 middle = cosine * at
-                low = int(np.floor((middle - 4 * sine + shift) / self.width))
-                high = int(np.floor((middle + 4 * sine + shift) / self.width))
+                low = int(np.floor((middle - reach * sine + shift) / self.width))
+                high = int(np.floor((middle + reach * sine + shift) / self.width))
                 edges = np.arange(low, high + 2) * self.width - shift
                 below = np.array([0.5 * (1 + erf((e - middle) / (sine * 2**0.5))) for e in edges])
                 found = np.diff(below)
                 joint = (mass[:, None] * found[None, :]).reshape(-1)
-                order = np.argsort(-joint, kind="stable")[:BEAM]
+                order = np.argsort(-joint, kind="stable")
+                covered = np.cumsum(joint[order])
+                order = order[: int(np.searchsorted(covered, covered[-1] - spare)) + 1]
                 slots = np.column_stack([slots[order // len(found)], low + order % len(found)])
                 mass = joint[order]
             need = int(np.searchsorted(np.cumsum(mass), share)) + 1

@@ -261,6 +261,20 @@ def test_repeated_rows_and_ids_take_no_places_of_neighbours(spark):
     assert [(r.vec_id, r.score) for r in got] == [(50, 3.0), *((100 + i, 2.0) for i in range(19))]
 
 
+@pytest.mark.parametrize("rows", [1_000, 1_000_000, 10_000_000, 300_000_000])
+def test_visits_hold_neighbours_of_tables_of_any_size(rows):
+    draw = np.random.default_rng(8)
+    hashing = ann.Hashing.choose(rows, 64, 1.0 + 1e-9)
+    shares = []
+    for _ in range(4):
+        query, others = draw.normal(size=64), draw.normal(size=(500, 64))
+        query /= np.linalg.norm(query)
+        others -= np.outer(others @ query, query)
+        near = 0.45 * query + (1 - 0.45**2) ** 0.5 * others / np.linalg.norm(others, axis=1, keepdims=True)
+        shares.append(np.isin(hashing.places(near), hashing.visits(query, 0.45, ann.SUCCESS)).any(axis=1).mean())
+    assert np.mean(shares) >= 0.96
+
+
 # -- mixing --------------------------------------------------------------------
 
 
