@@ -151,5 +151,14 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = documents.withColumn(mark, node).join(
         if_small(gone), F.col(mark).eqNullSafe(F.col(gone_node)) & documents[id_col].eqNullSafe(F.col(gone_id)), "left_anti"
     )
-    repeated = classes.where("first and not alone").groupBy(id_col, "node").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates([id_col, mark]) if repeated else kept).select(documents.columns)
+    twice = classes.where("first and not alone").groupBy(id_col, "node").count().where("count > 1").select(id_col, "node")
+    if twice.limit(1).count():  # only those lose copies: texts without words are classes of their own
+        twice_id, twice_node = (fresh(documents, x) for x in ("twice_id", "twice_node"))
+        marked = kept.join(
+            if_small(twice.toDF(twice_id, twice_node)),
+            F.col(mark).eqNullSafe(F.col(twice_node)) & kept[id_col].eqNullSafe(F.col(twice_id)),
+            "left",
+        )
+        single = F.col(twice_node).isNull()
+        kept = marked.where(single).union(marked.where(~single).dropDuplicates([id_col, mark]))
+    return kept.select(documents.columns)

@@ -98,6 +98,13 @@ def test_similarity_join_of_odd_rows(spark):
     assert ngram_join.one_of_each(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_without_words_stay(spark):
+    same = "a b c d e f g h"
+    frame = docs(spark, [same, same, None, None, "", "", "?!", "?!", None, None], [4, 4, 5, 5, 6, 6, 7, 7, None, None])
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(frame).collect())
+    assert kept == {(4, same): 1, (5, None): 2, (6, ""): 2, (7, "?!"): 2, (None, None): 2}
+
+
 def test_a_large_group_of_near_copies_keeps_all_links(spark):
     draw = random.Random(6)
     base = [f"w{i}" for i in range(40)]
