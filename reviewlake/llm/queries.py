@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import ann, decontaminate, langid, licenses, line_dedup, mixing, ngram_join, secrets, toxicity, warc
+from reviewlake.llm import ann, decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_join, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -103,6 +103,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and reordered for infilling: part lengths, digests of the output and of the text restored."""
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
@@ -114,4 +128,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
