@@ -58,6 +58,61 @@ FROM p
 """
 
 
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_encoded, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# DuckDB has no crc32: eight shifts of the reflected polynomial for each digit of the id.
+_CRC = """
+crc(doc_id, i, c) AS (
+  SELECT doc_id, 0, 4294967295::BIGINT FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, i + 1, list_reduce(list_concat([xor(c, ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)], range(8)),
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+  FROM crc WHERE i < strlen(doc_id::VARCHAR)),
+chosen AS (SELECT doc_id FROM crc WHERE i = strlen(doc_id::VARCHAR) AND xor(c, 4294967295) % 7 = 0)"""
+
+_MERKLE = f"""
+WITH RECURSIVE {_CRC},
+d AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN doc_id IN (SELECT doc_id FROM chosen) THEN {_leaf('n_chars + 1')} END AS shown FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf, shown NULLS FIRST) AS r,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, shown NULLS FIRST) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+nodes(tree, level, i, n, h) AS (
+  SELECT tree, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, i // 2, (n + 1) // 2),
+subroots AS (SELECT tree, level, h FROM nodes WHERE n = 1),
+top(level, i, n, h) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroots), h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1
+  GROUP BY level, i // 2, (n + 1) // 2),
+steps AS (SELECT tree, level, i, n, h FROM nodes UNION ALL SELECT -1, level, i, n, h FROM top),
+climb(r, tree, t, level, i, n, h, p) AS (
+  SELECT r, tree, tree, 0, i, n, coalesce(shown, leaf), '' FROM leaves
+  UNION ALL
+  SELECT c.r, c.tree, CASE WHEN c.n = 1 THEN -1 ELSE c.t END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.n = 1 THEN c.tree ELSE c.i // 2 END, CASE WHEN c.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (c.n + 1) // 2 END,
+    CASE WHEN c.n = 1 THEN c.h WHEN s.h IS NULL THEN sha256(c.h) WHEN c.i % 2 = 0 THEN sha256(c.h || s.h) ELSE sha256(s.h || c.h) END,
+    c.p || CASE WHEN c.n = 1 THEN '' ELSE coalesce(s.h, '') END
+  FROM climb c LEFT JOIN steps s ON s.tree = c.t AND s.level = c.level AND s.i = xor(c.i, 1)
+  WHERE c.n > 1 OR c.t >= 0),
+ends AS (SELECT r, h, p FROM climb WHERE t = -1 AND n = 1),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(ends.p) AS proof_sha256, ends.h AS folded_root, ends.h = root.h AS verified
+FROM leaves JOIN ends USING (r) JOIN subroots s USING (tree), root
+"""
+
+
 def _licenses() -> str:
     rows, _ = prepared(TEMPLATES, THRESHOLD)
 
@@ -90,4 +145,5 @@ ORACLES: dict[str, str] = {
     "op6_licenses": _licenses(),
     "op10_warc": _WARC,
     "op11_fill_in_middle": _FIM,
+    "op12_merkle_manifest": _MERKLE,
 }

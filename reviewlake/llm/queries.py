@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import ann, decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_join, secrets, toxicity, warc
+from reviewlake.llm import ann, decontaminate, fim, langid, licenses, line_dedup, merkle, mixing, ngram_join, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -117,6 +117,23 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest: digests, proof, and the verdict on a copy of which a seventh is tampered with."""
+    documents = table(spark, sf_dir, "documents")
+    chosen = F.coalesce(F.crc32(documents["doc_id"].cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    found = merkle.dataset(
+        documents,
+        "doc_id",
+        "lang",
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        tampered={"n_chars": documents["n_chars"].cast("decimal(20,0)") + 1},
+        where=chosen,
+    )
+    return merkle.proofs(found).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
@@ -129,4 +146,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
