@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import ann, decontaminate, fim, langid, licenses, line_dedup, merkle, mixing, ngram_join, secrets, toxicity, warc
+from reviewlake.llm import ann, decontaminate, fim, langid, licenses, line_dedup, merkle, mixing, ngram_join, pii, secrets, toxicity, warc
 from reviewlake.llm.common import held_out, table
 
 
@@ -24,13 +24,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listed(spans: str) -> F.Column:
+    """An array of spans as text."""
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digests of the spans found."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
-    def listed(spans: str) -> F.Column:
-        return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
-
     base = "filter(spans, s -> s.kind in ('assign', 'access', 'hex'))"
     return found.select(
         "doc_id",
@@ -134,6 +136,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document and the terms that give it away: counts and digests of the spans."""
+    found = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = f"filter(spans, s -> s.kind in {pii.KINDS})"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
@@ -147,4 +161,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_personal_data": op13_personal_data,
 }
