@@ -144,15 +144,15 @@ def test_components_equal_union_find(spark):
 # -- lines ---------------------------------------------------------------------
 
 
-def deduplicated(texts, chars=8, least=20):
-    """Every line with every other; the first of a class stays."""
+def deduplicated(texts, chars=8):
+    """All lines compared with all."""
     places, sets = [], []
     for i, text in enumerate(texts):
         for n, line in enumerate((text or "").split("\n")):
-            line = line.strip(" ").lower()
-            if len(line) >= least:
+            line = line.strip(line_dedup.WHITE).lower()
+            if line:
                 places.append((i, n))
-                sets.append({line[k : k + chars] for k in range(len(line) - chars + 1)})
+                sets.append({line[k : k + chars] for k in range(max(1, len(line) - chars + 1))})
     links = [(a, b) for a, b in combinations(range(len(sets)), 2) if jaccard(sets[a], sets[b]) >= 0.8]
     gone = {places[k] for k, root in enumerate(roots(len(sets), links)) if root != k}
     return [t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)]
@@ -164,14 +164,15 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, weight):
     draw = random.Random(12)
     pool = near_texts(3, groups=5, size=8, words=25)
     texts = ["\n".join(draw.choices(["short", "", "  Short  ", *pool], k=draw.randint(1, 6))) for _ in range(60)]
-    texts += [None, "", "\n\n", "ünïcode " * 9, "ÜNÏCODE " * 9, "z" * 60000, "y\n" * 4000]
+    texts += [None, "", "\n\n", "ünïcode " * 9, "ÜNÏCODE " * 9, "z" * 60000, "y\n" * 400]
+    texts += ["One paragraph.\n\nAnother one.\n \t\n", "One paragraph.\n\nAnother one.\n \t\n", "one paragraph.\t\n\r\n\u3000Another one.\r", "ab cd", "ab cd\r"]
     left = line_dedup.drop_repeated_lines(docs(spark, texts))
     assert left.columns == docs(spark, []).columns
     got = {r.doc_id: r.text for r in left.collect()}
     want = deduplicated(texts)
     assert [got[i] for i in range(len(texts))] == want
     full = {r.doc_id for r in line_dedup.drop_repeated_lines(docs(spark, texts), drop_empty=True).collect()}
-    assert full == {i for i, (t, w) in enumerate(zip(texts, want)) if t == w or w.strip()}
+    assert full == {i for i, (t, w) in enumerate(zip(texts, want)) if t == w or w.strip(line_dedup.WHITE)}
 
 
 def test_near_lines_share_a_band_as_often_as_promised():
