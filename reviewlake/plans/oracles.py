@@ -419,4 +419,26 @@ WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%'""",
 SELECT repo_full_name, pr_number, md5(concat('h', pr_number)) AS head_sha, 'REQUEST_CHANGES' AS event,
        count(*) AS n_comments, count(*) AS n_rule, CAST(0 AS BIGINT) AS n_model
 FROM found WHERE {_ENABLED} GROUP BY repo_full_name, pr_number""",
+    "review_payloads": f"""SELECT repo_full_name, pr_number,
+       CASE WHEN comments = '' THEN 'body,event' ELSE 'body,comments,event' END AS keys, event, body,
+       CASE WHEN comments <> '' THEN comments END AS comments
+FROM ({_REVIEW_TEXTS})""",
+    "both_streams": f"""{_GO_FOUND}, models AS (
+    SELECT repo_full_name, k AS pr_number, 1 AS model, CAST(0 AS BIGINT) AS diff_pos FROM files
+    WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%')
+SELECT repo_full_name, pr_number, md5(concat('h', pr_number)) AS commit_id, count(*) FILTER (diff_pos > 0) AS n_comments,
+       count(*) FILTER (model = 0) AS n_rule, count(*) FILTER (model = 1) AS n_model, CAST(sum(diff_pos) AS BIGINT) AS positions
+FROM (SELECT repo_full_name, pr_number, 0 AS model, diff_pos FROM found WHERE {_ENABLED} UNION ALL FROM models)
+GROUP BY repo_full_name, pr_number""",
+    "stream_retries": f"""{_GO_FOUND}, n AS (SELECT pr_number, count(*) AS n_rule FROM found WHERE {_ENABLED} GROUP BY pr_number)
+SELECT repo_full_name, k AS pr_number, md5(concat('h', k)) AS head_sha,
+       CASE WHEN k % 7 = 0 THEN 'dead' ELSE 'reviewed' END AS status, CAST(CASE WHEN k % 7 = 0 THEN 4 END AS INTEGER) AS buried_after,
+       CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE coalesce(n_rule, 0) END AS BIGINT) AS n_rule
+FROM files LEFT JOIN n ON k = pr_number""",
+    "stream_history": f"""{_GO_FOUND}, read AS (
+    SELECT *, concat('mod', k % 20) AS repo, (k // 20) % 2 AS half FROM files WHERE p_size % 5 IN (0, 3) OR path NOT LIKE 'vendor/%'),
+known AS (SELECT repo, count(*) AS n FROM read WHERE half = 0 GROUP BY repo)
+SELECT repo, k AS pr_number, path AS file_path, 'llm-seen' AS rule,
+       concat(CASE WHEN half = 0 THEN 0 ELSE least(coalesce(n, 0), 5) END, ' similar') AS message
+FROM read LEFT JOIN known USING (repo)""",
 }

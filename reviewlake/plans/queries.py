@@ -24,7 +24,8 @@ from reviewlake.plans.live import live_responses
 from reviewlake.session import work_dir, written
 from reviewlake.sources import corpus, tables
 from reviewlake.streaming.intake import start_intake
-from reviewlake.streaming.reviewing import ReviewTables, start_reviewing
+from reviewlake.streaming.retrying import MAX_RETRIES, RetryPolicy
+from reviewlake.streaming.reviewing import ReviewTables, start_retrying, start_reviewing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,6 +339,31 @@ def reviews_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_reviews(tables.read_table(spark, "reviews", path, "json"))
 
 
+def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents to post, written as text and read back: their keys, and what stands under them."""
+    path = work_dir(spark, "payloads")
+    tables.write_payloads(rev.review_payload(rev.assemble_reviews(_merged(spark, sf_dir))), path)
+    posted = tables.read_payloads(spark, path)
+    keys = F.array_join(F.array_sort(F.json_object_keys("payload")), ",")
+    value = F.from_json("payload", schemas.REVIEWS)
+    rows = posted.select("repo_full_name", "pr_number", keys.alias("keys"), value.alias("v"))
+    lines = F.transform("v.comments", lambda c: F.concat_ws("|", c["path"], c["position"].cast("string"), c["body"]))
+    return rows.select("repo_full_name", "pr_number", "keys", "v.event", "v.body", F.array_join(lines, "\n").alias("comments"))
+
+
+def both_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part pull requests with findings of the rules and of recorded answers on the same files."""
+    made = plan.reviews(
+        corpus.go_jobs(spark, sf_dir),
+        corpus.go_diffs(spark, sf_dir),
+        corpus.go_sources(spark, sf_dir),
+        corpus.go_configs(spark, sf_dir),
+        corpus.go_responses(spark, sf_dir),
+    )
+    placed = F.aggregate("comments", F.lit(0).cast("bigint"), lambda n, c: n + c["position"])
+    return made.select("repo_full_name", "pr_number", "commit_id", "n_comments", "n_rule", "n_model", placed.alias("positions"))
+
+
 def two_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part pull request opened and updated within one run: a review for either revision."""
 
@@ -412,6 +438,78 @@ def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part pull requests from a retrying stream: what became of each job.
+
+    Every fifth diff arrives after its job has failed, every seventh never does;
+    nothing else arrives, so all retries come by the clock.
+    """
+    landed, diffs = work_dir(spark, "queued"), work_dir(spark, "diffs")
+    jobs, every = corpus.go_jobs(spark, sf_dir), corpus.go_diffs(spark, sf_dir).where(F.col("pr_number") % 7 != 0)
+    jobs.write.parquet(landed)
+    every.where(F.col("pr_number") % 5 != 0).write.parquet(diffs)
+    out = ReviewTables(
+        diffs=diffs,
+        sources=corpus.go_sources(spark, sf_dir),
+        configs=corpus.go_configs(spark, sf_dir),
+        responses=None,
+        reviews_path=work_dir(spark, "reviews"),
+        outcomes_path=work_dir(spark, "outcomes"),
+        dead_path=work_dir(spark, "dead"),
+    )
+    stream = tables.stream_table(spark, "review_jobs", landed)
+    query = start_retrying(stream, out, work_dir(spark, "retrying"), policy=RetryPolicy(first_delay_ms=2000), every="1 second")
+    total, late = jobs.count(), False
+    try:
+        while True:
+            query.awaitTermination(1)  # raises what ended the stream
+            ended = tables.job_status(spark, out.outcomes_path, MAX_RETRIES)
+            if not late and ended.limit(1).count():
+                every.where(F.col("pr_number") % 5 == 0).write.mode("append").parquet(diffs)
+                late = True
+            buried = spark.read.schema("repo_full_name string, pr_number bigint, head_sha string, attempt int").parquet(out.dead_path)
+            if ended.where("status = 'reviewed'").count() + buried.count() == total:
+                break
+    finally:
+        query.stop()
+    reviewed = spark.read.parquet(out.reviews_path).select("repo_full_name", "pr_number", "head_sha", "n_rule")
+    keys = ["repo_full_name", "pr_number", "head_sha"]
+    found = ended.join(reviewed, keys, "left").join(buried, keys, "left")
+    return found.select(*keys, "status", F.col("attempt").alias("buried_after"), F.coalesce("n_rule", F.lit(0)).alias("n_rule"))
+
+
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that two batches store, each told how many earlier findings its repository had."""
+
+    def provider(requests: Sequence[dict]) -> list[tuple[str | None, str | None]]:
+        out = []
+        for r in requests:
+            lines = [x for x in r["user"].split("\n") if x.startswith("- ")]
+            said = f"{sum('(PR #' in x for x in lines)} similar" if r["stage"] == "detector" else lines[0].split("] ", 1)[1]
+            item = {"category": "seen", "line": 1, "message": said, "confidence": 0.9, "decision": "summary"}
+            out.append((json.dumps({"candidates" if r["stage"] == "detector" else "items": [item]}), None))
+        return out
+
+    landed, jobs = work_dir(spark, "queued"), corpus.go_jobs(spark, sf_dir)
+    out = ReviewTables(
+        diffs=corpus.go_diffs(spark, sf_dir),
+        sources=corpus.go_sources(spark, sf_dir),
+        configs=corpus.go_configs(spark, sf_dir),
+        responses=None,
+        reviews_path=work_dir(spark, "reviews"),
+        outcomes_path=work_dir(spark, "outcomes"),
+        history_path=work_dir(spark, "history"),
+        provider=provider,
+    )
+    checkpoint = work_dir(spark, "reviewing")
+    for half in (0, 1):
+        jobs.where(F.floor(F.col("pr_number") / 20) % 2 == half).write.mode("append").parquet(landed)
+        stream = tables.stream_table(spark, "review_jobs", landed)
+        embedder = lambda texts: [[1.0, float(len(t))] for t in texts]
+        start_reviewing(stream, out, checkpoint, embedder, available_now=True).awaitTermination()
+    return spark.read.parquet(out.history_path).select("repo", "pr_number", "file_path", "rule", "message")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -447,9 +545,13 @@ QUERIES: dict[str, Query] = {
         review_bodies,
         review_counts,
         reviews_written,
+        review_payloads,
+        both_streams,
         two_revisions,
         model_filters,
         model_pipeline,
         stream_reviews,
+        stream_retries,
+        stream_history,
     )
 }

@@ -90,14 +90,19 @@ def reviews(
 ) -> DataFrame:
     """One assembled review per pull request and revision with findings in either stream."""
     configured = configured_jobs(jobs, sources, configs)
-    merged = rule_findings(configured, diffs, sources, rules)
+    models = None
     if responses is not None:
         models = model_stream(mod.stage_outcomes(responses), configured, diffs, sources)
-        merged = rev.merged_findings(merged, models)
-    else:
-        merged = (
-            merged.withColumn("stream", F.lit(rev.RULE_STREAM))
-            .withColumn("confidence", F.lit(None).cast("double"))
-            .withColumn("suggested_fix", F.lit(None).cast("string"))
-        )
-    return rev.assemble_reviews(merged)
+    return assembled(rule_findings(configured, diffs, sources, rules), models)
+
+
+def assembled(known: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Reviews of the findings of the rules and, where there is one, of the model stream."""
+    if models is not None:
+        return rev.assemble_reviews(rev.merged_findings(known, models))
+    alone = (
+        known.withColumn("stream", F.lit(rev.RULE_STREAM))
+        .withColumn("confidence", F.lit(None).cast("double"))
+        .withColumn("suggested_fix", F.lit(None).cast("string"))
+    )
+    return rev.assemble_reviews(alone)
