@@ -17,7 +17,13 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Cut Arrow batches by bytes, so that long texts do not add up in a worker."""
+    """Cut Arrow batches by bytes, so that long texts do not add up in a worker.
+
+    The driver keeps a description of every plan it has run. Operators that work in
+    rounds run hundreds, so descriptions are cut short too.
+    """
+    spark.conf.set("spark.sql.maxPlanStringLength", "8192")
+    spark.conf.set("spark.sql.ui.explainMode", "simple")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
