@@ -292,6 +292,15 @@ WITH history AS (
 )
 """
 
+_SIMILAR = f"""{_HISTORY}, pairs AS (
+    SELECT q.id AS query_id, h.id, 1 - list_cosine_similarity(q.v, h.v) AS d
+    FROM history q JOIN history h ON q.repo = h.repo AND h.vec_id < q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(d, 6) AS distance FROM ranked WHERE rank <= 5"""
+
+
 ORACLES: dict[str, str] = {
     "delivery_status": f"SELECT event_id AS delivery_id, CAST({_STATUS} AS INTEGER) AS status FROM events",
     "review_jobs": _JOBS,
@@ -371,13 +380,8 @@ SELECT pr_number, stage, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest
 SELECT pr_number, concat('orders/o', pr_number, '.go') AS path, stage, CAST(1 AS INTEGER) AS attempt,
        concat('suggester ', length(t)) AS content, CAST(NULL AS VARCHAR) AS error
 FROM texts WHERE stage = 'suggester'""",
-    "similar_topk": f"""{_HISTORY}, pairs AS (
-    SELECT q.id AS query_id, h.id, 1 - list_cosine_similarity(q.v, h.v) AS d
-    FROM history q JOIN history h ON q.repo = h.repo AND h.vec_id < q.vec_id
-), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM pairs
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(d, 6) AS distance FROM ranked WHERE rank <= 5""",
+    "similar_topk": _SIMILAR,
+    "similar_topk_cells": _SIMILAR,
     "nearest_global": f"""{_HISTORY}
 SELECT id, repo, round(1 - list_cosine_similarity(v, list_transform(range(64), lambda i: ((i % 7) - 3) / 10.0::DOUBLE)), 6) AS distance
 FROM history ORDER BY 1 - list_cosine_similarity(v, list_transform(range(64), lambda i: ((i % 7) - 3) / 10.0::DOUBLE)), id LIMIT 5""",

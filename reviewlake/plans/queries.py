@@ -268,6 +268,13 @@ def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+def similar_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with every repository behind a cell index."""
+    history = corpus.finding_history(spark, sf_dir)
+    queries = history.select(F.col("id").alias("query_id"), "repo", "embedding", F.col("created_at").alias("as_of"))
+    return hist.indexed_findings(queries, history).select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 def nearest_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hist.nearest_to(corpus.finding_history(spark, sf_dir), PROBE_VECTOR)
     return found.select("id", "repo", F.round("distance", 6).alias("distance"))
@@ -539,6 +546,7 @@ QUERIES: dict[str, Query] = {
         stage_prompts,
         live_answers,
         similar_topk,
+        similar_topk_cells,
         nearest_global,
         history_roundtrip,
         saved_findings,
