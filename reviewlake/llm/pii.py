@@ -39,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile("[^0-9]")
+_ASCII_DIGIT = re.compile("[0-9]")
 
 _TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DIGIT = re.compile(r"\d")
@@ -88,17 +89,21 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """``start, end, kind`` of all base spans, by start and then kind."""
-    found = [(a, b, 0) for a, b in mail_spans(text)]
-    for m in _IP.finditer(text):
+    found = [(a, b, 0) for a, b in mail_spans(text)] if "@" in text else []
+    digit = _ASCII_DIGIT.search(text)
+    if digit is None:
+        return [(a, b, KINDS[0]) for a, b, _ in found]
+    first = digit.start()
+    for m in _IP.finditer(text, first):
         parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             found.append((*m.span(), 1))
-    for m in _CARD.finditer(text):
+    for m in _CARD.finditer(text, first):
         if m.end() - m.start() >= 12:
             digits = _NO_DIGIT.sub("", m.group())
             if 12 <= len(digits) <= 19 and luhn(digits):
                 found.append((*m.span(), 2))
-    for m in _PHONE.finditer(text):
+    for m in _PHONE.finditer(text) if "+" in text else ():
         if 9 <= len(_NO_DIGIT.sub("", m.group())) <= 15:
             found.append((*m.span(), 3))
     found.sort(key=lambda s: (s[0], s[2]))
@@ -158,6 +163,21 @@ def terms_outside(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def passage_terms(text: str) -> Iterator[set[str]]:
+    """The different terms of each passage of a text; one that has them begins in it."""
+    spans = base_spans(text)
+    if not spans and len(text) <= PASSAGE:
+        yield {w for w in set(_TERM.findall(text)) if len(w) >= LEAST_CHARS}
+        return
+    passage, held = 0, set()
+    for a, b in terms_outside(text, spans):
+        if a // PASSAGE != passage:
+            yield held
+            held, passage = set(), a // PASSAGE
+        held.add(text[a:b])
+    yield held
+
+
 def near_terms(text: str, known: Terms) -> Iterator[set[tuple[int, int, int, int]]]:
     """For each passage of a text the different ``entity, term, general, surroundings`` in it.
 
@@ -221,15 +241,10 @@ def term_passages(texts: DataFrame) -> DataFrame:
 
         for frame in frames:
             for text in frame["text"]:
-                passage, held = 0, set()
-                spans = base_spans(text) if "@" in text or _DIGIT.search(text) else []
-                for a, b in terms_outside(text, spans):
-                    if a // PASSAGE != passage:
-                        counts.update(held)
-                        held, passage = set(), a // PASSAGE
-                    held.update(known.of(text[a:b]))
-                held.discard(0)
-                counts.update(held)
+                for words in passage_terms(text):
+                    held = {h for pair in map(known.of, words) for h in pair}
+                    held.discard(0)
+                    counts.update(held)
                 if len(counts) >= REMEMBERED:
                     yield flush()
         if counts:
@@ -284,9 +299,11 @@ def finder(shared: Broadcast, first: bool) -> Column:
         actions, known, out = shared.value, Terms(), []
         order = {k: i for i, k in enumerate((*KINDS, GENERAL, REMOVE))}
         for text, spans in zip(texts, before):
-            base = base_spans(text) if first or actions else []
+            # Most texts have no disclosing term; places are looked for in the others only.
+            told = actions and any(known.of(w)[0] in actions for w in set(_TERM.findall(text)))
+            base = base_spans(text) if first or told else []
             all_spans = [(s["start"], s["end"], s["kind"]) for s in spans] + (base if first else [])
-            if actions:
+            if told:
                 for a, b in terms_outside(text, base):
                     action = actions.get(known.of(text[a:b])[0])
                     if action:
