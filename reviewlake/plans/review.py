@@ -61,7 +61,8 @@ def rule_findings(
     diffs = of_revision(diffs, jobs)
     info = dif.line_info(dif.diff_lines(diffs))
     files = changed_sources(jobs, diffs, sources)
-    scanned = scan(files.select(*FILE, "path", "content", "go_version"), rules, only, FILE)
+    changed = info.where("changed").groupBy(*FILE).agg(F.collect_list("line").alias("changed_lines"))
+    scanned = scan(files.select(*FILE, "path", "content", "go_version"), rules, only, FILE, changed)
     found = gated(scanned, info, FILE, second_lines(only))
     found = cfg.only_enabled(found.join(files.select(*FILE, "path", "rule_flags"), FILE)).drop("rule_flags")
     in_file = Window.partitionBy(*FILE).orderBy("place", "ord", "rule", "message")
