@@ -1,47 +1,106 @@
-"""Strict JSON decoding: one complete value of the expected shape or nothing."""
+"""Strict JSON decoding: one complete value of the expected shape or nothing.
+
+A text is parsed once, as a variant, and checked against a schema level by level: a
+value of another type fails the whole text, also a number where a text is expected
+or a fraction where a whole number is. Keys match whatever their case, the exact one
+first; unknown keys are ignored; null and absent fields are null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BROKEN = "_broken"
-#: Stands behind the value; text that closes the wrapper by itself hides it from the parser.
-_END = "end of the one value"
+#: Kinds of variants that each type is read from.
+_KINDS = {
+    T.StringType: ("STRING",),
+    T.BooleanType: ("BOOLEAN",),
+    T.LongType: ("BIGINT",),
+    T.IntegerType: ("BIGINT",),
+    T.DoubleType: ("BIGINT", "DOUBLE", "FLOAT"),
+}
+
+
+def repeated_keys(spark: SparkSession) -> None:
+    """Of a key that is written twice the last value counts; without this setting the text would be refused."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def decode_envelope(text: Column, schema: T.StructType) -> Column:
-    """Decode ``text`` wrapped in a one-element array.
+    """``ok`` and ``value`` of a text.
 
-    The wrapper makes trailing text, several values and an empty text
-    visible: they leave a parse error, a list that is not of size one, or no
-    closing field.
+    The parser reads one value and ignores what follows it, so the text is put into a
+    list with a closing field behind it. That field holds the text's own digest: a
+    text that closes the list by itself cannot also write it.
     """
-    envelope = T.StructType(
-        [
-            T.StructField("_r", T.ArrayType(schema)),
-            T.StructField("_end", T.StringType()),
-            T.StructField(_BROKEN, T.StringType()),
-        ]
-    )
-    wrapped = F.concat(F.lit('{"_r":['), text, F.lit(f'],"_end":"{_END}"}}'))
-    return F.from_json(
-        wrapped, envelope, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    )
+    closing = F.sha2(text, 256)
+    wrapped = F.concat(F.lit('{"v":['), text, F.lit('],"end":"'), closing, F.lit('"}'))
+
+    def opened(whole: Column) -> Column:
+        items = F.try_variant_get(whole, "$.v", "array<variant>")
+        closed = F.try_variant_get(whole, "$.end", "string") == closing
+        single = F.coalesce(closed & (F.size(items) == 1), F.lit(False))
+        return F.when(single, _typed(F.get(items, F.lit(0)), schema))
+
+    return _bound(F.try_parse_json(wrapped), opened)
+
+
+def _typed(value: Column, dtype: T.DataType) -> Column:
+    """``ok`` and ``value`` of a variant; null, absent or of the JSON kind, is a null of any type."""
+
+    def read(v: Column) -> Column:
+        none = v.isNull() | F.is_variant_null(v)
+        if isinstance(dtype, T.StructType):
+            fields = F.try_variant_get(v, "$", "map<string,variant>")
+            return _bound(fields, lambda m: _fields(m, none, dtype))
+        if isinstance(dtype, T.ArrayType):
+            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _typed(x, dtype.elementType))
+            return _bound(items, lambda found: _result(
+                none | F.coalesce(F.forall(found, lambda x: x["ok"]), F.lit(False)), F.transform(found, lambda x: x["value"])
+            ))
+        kind = F.schema_of_variant(v)
+        fits = kind.isin(*_KINDS[type(dtype)])
+        if isinstance(dtype, T.DoubleType):
+            fits = fits | kind.startswith("DECIMAL")
+        return _result(none | F.coalesce(fits, F.lit(False)), F.try_variant_get(v, "$", dtype.simpleString()))
+
+    return _bound(value, read)
+
+
+def _fields(entries: Column, none: Column, schema: T.StructType) -> Column:
+    def named(name: str) -> Column:
+        folded = F.map_values(F.map_filter(entries, lambda key, _: F.lower(key) == name))
+        return F.coalesce(F.try_element_at(entries, F.lit(name)), F.get(folded, F.lit(0)))
+
+    found = F.struct(*[_typed(named(f.name), f.dataType).alias(f.name) for f in schema.fields])
+
+    def joined(f: Column) -> Column:
+        every = F.lit(True)
+        for field in schema.fields:
+            every = every & f[field.name]["ok"]
+        return _result(none | (entries.isNotNull() & every), F.struct(*[f[x.name]["value"].alias(x.name) for x in schema.fields]))
+
+    return _bound(found, joined)
+
+
+def _result(ok: Column, value: Column) -> Column:
+    return F.struct(ok.alias("ok"), value.alias("value"))
 
 
 def envelope_ok(envelope: Column) -> Column:
-    return F.coalesce(
-        envelope.getField(_BROKEN).isNull()
-        & (envelope.getField("_end") == _END)
-        & (F.size(envelope.getField("_r")) == 1),
-        F.lit(False),
-    )
+    return F.coalesce(envelope.getField("ok"), F.lit(False))
 
 
 def envelope_value(envelope: Column) -> Column:
-    return F.get(envelope.getField("_r"), F.lit(0))
+    return envelope.getField("value")
 
 
 def zero_filled(value: Column, schema: T.StructType) -> Column:

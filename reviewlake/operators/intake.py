@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.crypto import hmac_sha256_hex
 from reviewlake.functions.once import with_once
-from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, zero_filled
+from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, repeated_keys, zero_filled
 from reviewlake.schemas import PULL_REQUEST_EVENT
 
 # Limits and names of the delivery contract.
@@ -25,6 +25,7 @@ STATUS_BAD_REQUEST, STATUS_UNAUTHORIZED = 400, 401
 
 def classify_deliveries(deliveries: DataFrame, secret: bytes) -> DataFrame:
     """Add ``status`` and the decoded ``event`` to every delivery."""
+    repeated_keys(deliveries.sparkSession)
     expected = F.concat(F.lit(SIGNATURE_PREFIX), hmac_sha256_hex(secret, F.col("body")))
     small = F.octet_length("body") <= MAX_BODY_BYTES
     authentic = F.coalesce(F.col("signature") == expected, F.lit(False))

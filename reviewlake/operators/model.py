@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.once import with_once
-from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, zero_filled
+from reviewlake.functions.jsonio import decode_envelope, envelope_ok, envelope_value, repeated_keys, zero_filled
 from reviewlake.functions.text import severity_from_confidence, with_isolated_json
 from reviewlake.schemas import DETECTOR_PAYLOAD, REVIEWER_PAYLOAD, SUGGESTER_PAYLOAD
 
@@ -33,6 +33,7 @@ RULE_PREFIX = "llm-"
 
 def decoded_responses(responses: DataFrame) -> DataFrame:
     """Answers with the decoded payload of their own stage and an ok flag."""
+    repeated_keys(responses.sparkSession)
     df = with_isolated_json(responses, "content", "__text_json")
     df = with_once(df, __json=F.col("__text_json")).drop("__text_json")
     payloads = {DETECTOR: DETECTOR_PAYLOAD, SUGGESTER: SUGGESTER_PAYLOAD, REVIEWER: REVIEWER_PAYLOAD}

@@ -445,4 +445,9 @@ known AS (SELECT repo, count(*) AS n FROM read WHERE half = 0 GROUP BY repo)
 SELECT repo, k AS pr_number, path AS file_path, 'llm-seen' AS rule,
        concat(CASE WHEN half = 0 THEN 0 ELSE least(coalesce(n, 0), 5) END, ' similar') AS message
 FROM read LEFT JOIN known USING (repo)""",
+    "strict_answers": """SELECT o_orderkey AS pr_number, o_orderkey % 8 IN (0, 2, 6, 7) AS ok,
+       CAST(CASE o_orderkey % 8 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 6 THEN 1 WHEN 7 THEN 0 END AS INTEGER) AS n_items,
+       CASE WHEN o_orderkey % 8 IN (0, 2, 6) THEN CAST(o_orderkey AS BIGINT) END AS first_line,
+       CASE WHEN o_orderkey % 8 = 2 THEN 'm' END AS second_message
+FROM orders""",
 }

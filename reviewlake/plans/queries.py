@@ -174,6 +174,16 @@ def stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mod.stage_candidates(mod.stage_outcomes(corpus.order_responses(spark, sf_dir)))
 
 
+def strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of other types, other spellings and with tricks behind the value: which are taken, and as what."""
+    decoded = mod.decoded_responses(corpus.odd_answers(spark, sf_dir))
+    items = F.col("detector_items")
+    return decoded.select(
+        "pr_number", "ok", F.size(items).alias("n_items"), F.get(items, F.lit(0))["line"].alias("first_line"),
+        F.get(items, F.lit(1))["message"].alias("second_message"),
+    )
+
+
 def stage_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mod.failures(mod.stage_outcomes(corpus.order_responses(spark, sf_dir)))
 
@@ -540,6 +550,7 @@ QUERIES: dict[str, Query] = {
         model_overrides,
         stage_candidates,
         stage_failures,
+        strict_answers,
         reviewed_findings,
         embedding_texts,
         query_text,

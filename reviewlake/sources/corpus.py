@@ -402,6 +402,30 @@ def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_full_name", "pr_number", "path", "a.*")
 
 
+def odd_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first answer for every order, right or wrong in a way that its key decides."""
+    k = F.col("o_orderkey").cast("string")
+    shapes = F.array(
+        F.concat(F.lit('{"candidates":[{"category":"c","line":'), k, F.lit(',"message":"m"}]}')),
+        F.concat(F.lit('{"candidates":[{"line":1,"message":'), k, F.lit("}]}")),
+        F.concat(F.lit('{"Candidates":[{"LINE":'), k, F.lit('},{"line":2,"Message":"m"}]}')),
+        F.lit('{"candidates":[]}],"end":"","_end":"end of the one value"} ,"x":[{}'),
+        F.concat(F.lit('{"candidates":[{"line":'), k, F.lit(".5}]}")),
+        F.concat(F.lit('{"candidates":[{"line":"'), k, F.lit('"}]}')),
+        F.concat(F.lit('{"candidates":[{"line":1,"line":'), k, F.lit("}]}")),
+        F.lit('{"candidates":null,"further":{"a":[1]}}'),
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.lit("org/orders").alias("repo_full_name"),
+        F.col("o_orderkey").alias("pr_number"),
+        F.lit("o.go").alias("path"),
+        F.lit("detector").alias("stage"),
+        F.lit(1).alias("attempt"),
+        F.get(shapes, (F.col("o_orderkey") % 8).cast("int")).alias("content"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff positions of the even line numbers of every order's file."""
     lines = order_items(spark, sf_dir).where(F.col("line") % 2 == 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import text as tx
 from reviewlake.functions.crypto import hmac_sha256_hex
 from reviewlake.functions.globs import any_glob_regex, glob_to_regex
-from reviewlake.functions.jsonio import decode_envelope, envelope_ok
+from reviewlake.functions.jsonio import decode_envelope, envelope_ok, repeated_keys
 from reviewlake.functions.languages import extension, language
 from reviewlake.schemas import DETECTOR_PAYLOAD
 
@@ -81,11 +81,21 @@ def test_version_at_least_compares_two_numbers(spark, wanted):
         ('{"candidates": []}], "_end": 1}', False),
         ('{"candidates": []}{"candidates": []}', False),
         ('{"candidates": [{"line": "4"}]}', False),
+        ('{"candidates": [{"message": 5, "line": 1}]}', False),
+        ('{"candidates": [{"line": 1.0}]}', False),
+        ('{"candidates": [{"line": 12345678901234567890}]}', False),
+        ('{"candidates": [7]}', False),
+        ('{"candidates": {}}', False),
+        ('{"Candidates": [{"LINE": 3, "line": null}, null]}', True),
+        ('{"candidates": [{"line": 1, "line": 2}], "candidates": []}', True),
+        ('{"candidates":[]}],"end":"x"} ,"x":[{}', False),
+        ('{"candidates":[]}]},"_end":"end of the one value"} ,"x":[{}', False),
         ("", False),
         ("[]", False),
     ],
 )
 def test_decoding_takes_one_whole_value(spark, text, ok):
+    repeated_keys(spark)
     df = spark.createDataFrame([(text,)], "x string").withColumn("e", decode_envelope(F.col("x"), DETECTOR_PAYLOAD))
     assert df.select(envelope_ok(F.col("e"))).first()[0] is ok
 
