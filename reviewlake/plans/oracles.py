@@ -450,4 +450,9 @@ FROM read LEFT JOIN known USING (repo)""",
        CASE WHEN o_orderkey % 8 IN (0, 2, 6) THEN CAST(o_orderkey AS BIGINT) END AS first_line,
        CASE WHEN o_orderkey % 8 = 2 THEN 'm' END AS second_message
 FROM orders""",
+    "cached_answers": f"""{_PROMPTS}
+SELECT pr_number, CASE WHEN pr_number % 11 <> 0 THEN concat('suggester ', length(t)) END AS content,
+       CASE WHEN pr_number % 11 = 0 THEN 'ValueError: no answer' END AS error,
+       CAST(CASE WHEN pr_number % 11 <> 0 THEN 1 WHEN pr_number % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS calls
+FROM texts WHERE stage = 'suggester'""",
 }
