@@ -455,4 +455,6 @@ SELECT pr_number, CASE WHEN pr_number % 11 <> 0 THEN concat('suggester ', length
        CASE WHEN pr_number % 11 = 0 THEN 'ValueError: no answer' END AS error,
        CAST(CASE WHEN pr_number % 11 <> 0 THEN 1 WHEN pr_number % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS calls
 FROM texts WHERE stage = 'suggester'""",
+    "unparseable_files": """SELECT p_partkey AS pr_number, 'panic-outside-main' AS rule, CAST(5 AS BIGINT) AS line
+FROM part WHERE p_partkey % 13 IN (0, 7, 12)""",
 }

@@ -19,6 +19,7 @@ from reviewlake.operators import model as mod
 from reviewlake.operators import prompts
 from reviewlake.operators import review as rev
 from reviewlake.operators import seams
+from reviewlake.operators.rules import scan
 from reviewlake.plans import review as plan
 from reviewlake.plans.live import live_responses
 from reviewlake.session import work_dir, written
@@ -143,6 +144,12 @@ def enabled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_found(spark, sf_dir, None, configured=True))
 
 
+def unparseable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of files that hold a sound or an unsound statement: the unsound ones have none."""
+    found = scan(corpus.odd_sources(spark, sf_dir), only=["panic-outside-main"])
+    return found.select("pr_number", "rule", "line")
+
+
 def go_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = plan.configured_jobs(corpus.go_jobs(spark, sf_dir), corpus.go_sources(spark, sf_dir), None)
     recent = tx.version_at_least(F.col("go_version"), 1, 22)
@@ -568,6 +575,7 @@ QUERIES: dict[str, Query] = {
         rules_statements,
         struct_tags,
         enabled_findings,
+        unparseable_files,
         go_versions,
         excluded_files,
         model_overrides,

@@ -257,6 +257,27 @@ def go_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNREAD = ("tool/x.py", "gone/g.go")
 
 
+# One sound statement, and balanced ones that are no Go, by key.
+_STATEMENTS = (
+    "x := a + -b", "x := := 1", "x := a + ;", "x := a * / b", "x := if a", "x = 1 2", "f(a, , b)", "x, y = *p, <-c",
+    "return a.;", "a && || b", "defer go f()", "s[1 / ]", "var v = x.(T).f[1:]",
+)
+
+
+def odd_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library file for every part, with one statement of its key's kind ahead of a panic."""
+    k = F.col("p_partkey")
+    chosen = F.get(F.array(*[F.lit(x) for x in _STATEMENTS]), (k % len(_STATEMENTS)).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.lit("org/odd").alias("repo_full_name"),
+        k.alias("pr_number"),
+        F.lit(0).alias("file_idx"),
+        _text("p", k, ".go").alias("path"),
+        F.concat(F.lit("package p\n\nfunc f() {\n\t"), chosen, F.lit("\n\tpanic(1)\n}\n")).alias("content"),
+        F.lit("").alias("go_version"),
+    )
+
+
 def second_revision(df: DataFrame, column: str) -> DataFrame:
     """The rows as they look after the pull requests were updated: another head, the same files."""
     return df.withColumn(column, F.md5(_text("again", F.col(column))))
