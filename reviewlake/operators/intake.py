@@ -23,11 +23,11 @@ STATUS_OK, STATUS_ACCEPTED = 200, 202
 STATUS_BAD_REQUEST, STATUS_UNAUTHORIZED = 400, 401
 
 
-def classify_deliveries(deliveries: DataFrame, secret: bytes) -> DataFrame:
-    """Add ``status`` and the decoded ``event`` to every delivery."""
+def classify_deliveries(deliveries: DataFrame, secret: bytes, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """Add ``status`` and the decoded ``event`` to every delivery; a body over ``max_bytes`` is neither hashed nor read."""
     repeated_keys(deliveries.sparkSession)
     expected = F.concat(F.lit(SIGNATURE_PREFIX), hmac_sha256_hex(secret, F.col("body")))
-    small = F.octet_length("body") <= MAX_BODY_BYTES
+    small = F.octet_length("body") <= max_bytes
     authentic = F.coalesce(F.col("signature") == expected, F.lit(False))
     routed = F.coalesce(F.col("event_type") == REVIEW_EVENT, F.lit(False))
 
@@ -58,8 +58,8 @@ def classify_deliveries(deliveries: DataFrame, secret: bytes) -> DataFrame:
     return df.withColumn("status", status).drop("__gate", "__envelope", "__ok")
 
 
-def delivery_status(deliveries: DataFrame, secret: bytes) -> DataFrame:
-    return classify_deliveries(deliveries, secret).select("delivery_id", "status")
+def delivery_status(deliveries: DataFrame, secret: bytes, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    return classify_deliveries(deliveries, secret, max_bytes).select("delivery_id", "status")
 
 
 def review_jobs(deliveries: DataFrame, secret: bytes, *carry: str) -> DataFrame:

@@ -457,4 +457,9 @@ SELECT pr_number, CASE WHEN pr_number % 11 <> 0 THEN concat('suggester ', length
 FROM texts WHERE stage = 'suggester'""",
     "unparseable_files": """SELECT p_partkey AS pr_number, 'panic-outside-main' AS rule, CAST(5 AS BIGINT) AS line
 FROM part WHERE p_partkey % 13 IN (0, 7, 12)""",
+    "delivery_limits": f"""SELECT event_id AS delivery_id,
+       CAST(CASE WHEN event_id % 2 = 1 THEN 400 ELSE {_STATUS} END AS INTEGER) AS status FROM events""",
+    "added_rule": """SELECT p_partkey AS pr_number, 'panic-outside-main' AS rule, 'warning' AS severity, CAST(5 AS BIGINT) AS line
+FROM part WHERE p_partkey % 13 IN (0, 7, 12)
+UNION ALL SELECT p_partkey, 'channel-read', 'info', CAST(4 AS BIGINT) FROM part WHERE p_partkey % 13 = 7""",
 }

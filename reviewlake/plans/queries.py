@@ -19,7 +19,7 @@ from reviewlake.operators import model as mod
 from reviewlake.operators import prompts
 from reviewlake.operators import review as rev
 from reviewlake.operators import seams
-from reviewlake.operators.rules import scan
+from reviewlake.operators.rules import RuleSpec, default_rules, scan
 from reviewlake.plans import review as plan
 from reviewlake.plans.live import live_responses
 from reviewlake.session import work_dir, written
@@ -61,6 +61,11 @@ def delivery_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.delivery_status(corpus.deliveries(spark, sf_dir), corpus.SECRET)
 
 
+def delivery_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries whose bodies are as long as the limit, or a byte longer."""
+    return intake.delivery_status(corpus.padded_deliveries(spark, sf_dir, 1000), corpus.SECRET, max_bytes=1000)
+
+
 def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = intake.review_jobs(corpus.deliveries(spark, sf_dir), corpus.SECRET)
     return jobs.withColumn("short_sha", tx.short_sha(F.col("head_sha")))
@@ -150,6 +155,15 @@ def unparseable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pr_number", "rule", "line")
 
 
+def added_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of the user's own beside the built-in ones."""
+    own = RuleSpec(
+        rule="channel-read", severity="info", message="reads a channel", when=F.col("tok") == "<-", line=F.col("line"), word="<-"
+    )
+    found = scan(corpus.odd_sources(spark, sf_dir), [*default_rules(), own], only=["channel-read", "panic-outside-main"])
+    return found.select("pr_number", "rule", "severity", "line")
+
+
 def go_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = plan.configured_jobs(corpus.go_jobs(spark, sf_dir), corpus.go_sources(spark, sf_dir), None)
     recent = tx.version_at_least(F.col("go_version"), 1, 22)
@@ -561,6 +575,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         delivery_status,
+        delivery_limits,
         review_jobs,
         stream_jobs,
         diff_lines,
@@ -576,6 +591,7 @@ QUERIES: dict[str, Query] = {
         struct_tags,
         enabled_findings,
         unparseable_files,
+        added_rule,
         go_versions,
         excluded_files,
         model_overrides,

@@ -80,6 +80,15 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def padded_deliveries(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """The deliveries with bodies of exactly ``size`` bytes, and one byte more where the key is odd; signed anew."""
+    k = F.col("delivery_id")
+    filled = F.rpad(F.col("body").cast("string"), F.lit(size) + (k % 2).cast("int"), F.lit(" "))
+    padded = deliveries(spark, sf_dir).withColumn("body", F.encode(filled, "UTF-8"))
+    signed = _text("sha256=", hmac_sha256_hex(SECRET, F.col("body")))
+    return padded.withColumn("signature", F.when(k % 7 == 0, F.col("signature")).otherwise(signed))
+
+
 # -- diffs from documents -----------------------------------------------------
 
 
