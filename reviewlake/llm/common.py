@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -16,12 +17,24 @@ from reviewlake.session import work_dir
 BATCH_BYTES = 4 << 20
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark remove the broadcasts and shuffles that no plan reads any more.
+
+    It does so once the driver's collector finds them unused, which a driver of little
+    memory pressure may not do for half an hour; rounds of joins pile up until then,
+    on the driver and on every executor.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Cut Arrow batches by bytes, so that long texts do not add up in a worker.
 
     The driver keeps a description of every plan it has run. Operators that work in
     rounds run hundreds, so descriptions are cut short too.
     """
+    released(spark)
     spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     spark.conf.set("spark.sql.ui.explainMode", "simple")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import written
+from reviewlake.llm.common import released, written
 
 MAX_ROUNDS = 60
 
@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         current = written(current, "edges")
         now = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if now == seen or not now.n:
+            released(edges.sparkSession)
             return current.select(a.alias("node"), b.alias("root")).union(current.select(b, b)).distinct()
         seen = now
         both = current.union(current.select("b", "a"))
