@@ -164,35 +164,41 @@ def cutter(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return cut
 
 
+def scanned(automaton: WindowAutomaton, texts: pd.Series, before: pd.Series, known: pd.Series) -> tuple[list, list]:
+    """Hits and items of the texts, added to those of the blocks before."""
+    hits, found = [], []
+    for text, ranges, names in zip(texts, before, known):
+        new, items = automaton.scan(words(text))
+        hits.append(new if ranges is None or not len(ranges) else merged(new + [list(map(int, r)) for r in ranges]))
+        found.append(sorted(items | set(names)))
+    return hits, found
+
+
 def scanner(shared: Broadcast) -> Callable[..., Column]:
     """Adds one automaton's hits and items to those of the blocks before."""
 
     @pandas_udf("hits array<array<int>>, items array<string>")
     def scan(texts: pd.Series, before: pd.Series, known: pd.Series) -> pd.DataFrame:
-        automaton = shared.value
-        hits, found = [], []
-        for text, ranges, names in zip(texts, before, known):
-            new, items = automaton.scan(words(text))
-            hits.append(new if ranges is None or not len(ranges) else merged(new + [list(map(int, r)) for r in ranges]))
-            found.append(sorted(items | set(names)))
+        hits, found = scanned(shared.value, texts, before, known)
         return pd.DataFrame({"hits": pd.Series(hits, dtype=object), "items": pd.Series(found, dtype=object)})
 
     return scan
 
 
-def locator() -> Callable[..., Column]:
-    """Word ranges as stretches of the original text."""
+def locator(shared: Broadcast) -> Callable[..., Column]:
+    """The last block's scan, in the same worker as the places of all word ranges in the original text."""
 
     @pandas_udf("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
-    def locate(texts: pd.Series, hits: pd.Series, items: pd.Series) -> pd.DataFrame:
+    def locate(texts: pd.Series, before: pd.Series, known: pd.Series) -> pd.DataFrame:
+        hits, found = scanned(shared.value, texts, before, known)
         spans = []
         for text, ranges in zip(texts, hits):
-            at = [m.span() for m in _WORD.finditer(text)] if len(ranges) else []
+            at = [m.span() for m in _WORD.finditer(text)] if ranges else []
             spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
         return pd.DataFrame({
             "n_words": [len(words(t)) for t in texts],
-            "n_hit": [sum(int(b - a) for a, b in h) for h in hits],
-            "items": items,
+            "n_hit": [sum(b - a for a, b in h) for h in hits],
+            "items": pd.Series(found, dtype=object),
             "spans": pd.Series(spans, dtype=object),
         })
 
@@ -230,10 +236,11 @@ def with_leaks(
     for block in range(blocks):
         rows = pieces.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toLocalIterator()
         shared = spark.sparkContext.broadcast(WindowAutomaton.build(((r.item, r.text) for r in rows), window))
-        frame = frame.withColumn(found, scanner(shared)(text, F.col(f"{found}.hits"), F.col(f"{found}.items")))
-        if blocks > 1:
-            frame = written(frame, "leaks")
-    return frame.withColumn(name, locator()(text, F.col(f"{found}.hits"), F.col(f"{found}.items"))).drop(found)
+        before = (text, F.col(f"{found}.hits"), F.col(f"{found}.items"))
+        if block == blocks - 1:
+            return frame.withColumn(name, locator(shared)(*before)).drop(found)
+        frame = written(frame.withColumn(found, scanner(shared)(*before)), "leaks")
+    raise AssertionError("a benchmark has at least one block")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
