@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.globs import exclusion_regex
+from reviewlake.session import measured_joins
 
 
 def _first_wins(rules: Column) -> Column:
@@ -58,6 +59,7 @@ def attach_config(jobs: DataFrame, configs: DataFrame) -> DataFrame:
     The configuration comes from the base revision, or from the head revision
     where the base is empty.
     """
+    measured_joins(jobs.sparkSession)
     lookup = effective_configs(configs).withColumnRenamed("ref", "config_sha")
     sha = F.when(F.coalesce("base_sha", F.lit("")) == "", F.col("head_sha")).otherwise(
         F.col("base_sha")

@@ -13,6 +13,7 @@ from reviewlake.operators import diffs as dif
 from reviewlake.operators import model as mod
 from reviewlake.operators import review as rev
 from reviewlake.operators.rules import RuleSpec, gated, scan, second_lines
+from reviewlake.session import measured_joins, written
 
 JOB = [*dif.PR_KEYS, dif.REVISION]
 FILE = [*JOB, "file_idx"]
@@ -22,6 +23,7 @@ LANGUAGE = "go"
 
 def configured_jobs(jobs: DataFrame, sources: DataFrame, configs: DataFrame | None) -> DataFrame:
     """Jobs with their module's Go version and their configuration."""
+    measured_joins(jobs.sparkSession)
     manifests = sources.where(F.col("path") == MANIFEST).select(
         "repo_full_name", F.col("ref").alias("head_sha"), go_version(F.col("content")).alias("go_version")
     )
@@ -57,10 +59,14 @@ def rule_findings(
     rules: Sequence[RuleSpec] | None = None,
     only: Collection[str] | None = None,
 ) -> DataFrame:
-    """Enabled findings of all rules on changed lines, numbered within the file."""
+    """Enabled findings of all rules on changed lines, numbered within the file.
+
+    The lines of the diffs and the files are read several times, so they are written first.
+    """
     diffs = of_revision(diffs, jobs)
-    info = dif.line_info(dif.diff_lines(diffs))
-    files = changed_sources(jobs, diffs, sources)
+    info = written(dif.line_info(dif.diff_lines(diffs)), "lines")
+    files = changed_sources(jobs, diffs, sources).select(*FILE, "path", "content", "go_version", "rule_flags")
+    files = written(files, "files")
     changed = info.where("changed").groupBy(*FILE).agg(F.collect_list("line").alias("changed_lines"))
     scanned = scan(files.select(*FILE, "path", "content", "go_version"), rules, only, FILE, changed)
     found = gated(scanned, info, FILE, second_lines(only))
