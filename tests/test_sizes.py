@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from reviewlake.operators.diffs import diff_rows
+from reviewlake.operators.tokens import lexed
 from reviewlake.plans.review import configured_jobs
+from reviewlake.session import spread
 from reviewlake.sources import corpus
 
 GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
@@ -17,3 +20,24 @@ def test_only_measured_tables_are_broadcast(spark, tmp_path):
     assert "Broadcast" not in jobs._jdf.queryExecution().sparkPlan().toString()
     assert (spark.conf.get(GUESSED), spark.conf.get(MEASURED)) == ("-1", "10485760")
     assert jobs.count() == 40
+
+def test_tasks_are_bounded_by_size(spark, monkeypatch):
+    rows = spark.range(100).withColumn("size", F.lit(10))
+    assert spread(rows, "id", by=F.col("size"), most=50).rdd.getNumPartitions() == 20
+    assert spread(rows, "id", by=F.col("size"), most=5000).rdd.getNumPartitions() == 5
+    assert spread(rows.limit(0), "id", by=F.col("size"), most=50).rdd.getNumPartitions() == 5
+    monkeypatch.setattr("reviewlake.operators.tokens.TASK_CHARS", 30)
+    files = spark.range(20).select(
+        F.lit("r").alias("repo_full_name"), F.col("id").alias("pr_number"), F.lit(0).alias("file_idx"),
+        F.lit("a.go").alias("path"), F.lit("package main\n\n").alias("content"), F.lit("").alias("go_version"),
+    )
+    assert lexed(files).rdd.getNumPartitions() == 10
+
+
+
+def test_diffs_are_dealt_anew_after_a_join(spark):
+    rows = spark.range(50).select(F.concat(F.lit("r"), F.col("id") % 3).alias("repo_full_name"), F.col("id").alias("pr_number"))
+    diffs = rows.withColumn("raw", F.lit("diff --git a/x b/x\n"))
+    joined = diffs.join(rows, ["repo_full_name", "pr_number"], "left_semi")
+    plan = diff_rows(joined)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
