@@ -1,9 +1,11 @@
-"""What must not grow with the tables: broadcasts that no one measured, the work of one task."""
+"""What must not grow with the tables: broadcasts that no one measured, the work of one task, tasks of a round of calls."""
 
 from pyspark.sql import functions as F
 
+from reviewlake.operators import seams
 from reviewlake.operators.diffs import diff_rows
 from reviewlake.operators.tokens import lexed
+from reviewlake.plans import queries
 from reviewlake.plans.review import configured_jobs
 from reviewlake.session import spread
 from reviewlake.sources import corpus
@@ -41,3 +43,34 @@ def test_diffs_are_dealt_anew_after_a_join(spark):
     joined = diffs.join(rows, ["repo_full_name", "pr_number"], "left_semi")
     plan = diff_rows(joined)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_rounds_of_calls_have_bounded_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seams, "MOST_ROUNDS", 2)
+    asked = spark.range(100).select(
+        F.lit("r").alias("repo_full_name"), F.col("id").alias("pr_number"), F.lit("a.go").alias("path"),
+        F.lit("detector").alias("stage"), F.col("id").cast("string").alias("user"),
+    )
+
+    def provider(requests):
+        return [(f"{len(requests) <= 3} {r['user']}", None) for r in requests]
+
+    cache = str(tmp_path / "calls")
+    answers = {r.pr_number: r.content for r in seams.complete_once(asked, provider, cache, per_task=3).collect()}
+    assert answers == {k: f"True {k}" for k in range(100)}
+    assert len(spark.read.parquet(cache).inputFiles()) <= 8
+
+
+def test_deliveries_land_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    rows = [(k, k % 7, "view", k) for k in range(1, 61)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, s bigint")
+    events.select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "LANDED_BYTES", 2000)
+    landed = []
+    stream = queries.tables.stream_table
+    monkeypatch.setattr(queries.tables, "stream_table", lambda s, n, path, **k: landed.append((path, k["files_per_batch"])) or stream(s, n, path, **k))
+    jobs = {r.pr_number for r in queries.stream_jobs(spark, str(tmp_path)).collect()}
+    assert jobs == {r.pr_number for r in queries.review_jobs(spark, str(tmp_path)).collect()} and jobs
+    (path, per_batch), = landed
+    files = len(spark.read.parquet(path).inputFiles())
+    assert files > 8 and per_batch == -(-files // 2)
