@@ -22,7 +22,7 @@ from reviewlake.operators import seams
 from reviewlake.operators.rules import RuleSpec, default_rules, scan
 from reviewlake.plans import review as plan
 from reviewlake.plans.live import live_responses
-from reviewlake.session import work_dir, written
+from reviewlake.session import spread, work_dir, written
 from reviewlake.sources import corpus, tables
 from reviewlake.streaming.intake import start_intake
 from reviewlake.streaming.retrying import MAX_RETRIES, RetryPolicy
@@ -50,6 +50,8 @@ SCOPED_RULES = (
 STATEMENT_RULES = ("missing-cancel", "unreachable-code-after-return", "ineffective-assignment")
 TAG_RULES = ("struct-tag-malformed", "struct-tag-duplicate")
 
+#: Bytes of bodies in one file of landed deliveries.
+LANDED_BYTES = 64 << 20
 SITE_GLOBS = ["fr/**", "**/*.html", "en/?7*", "bad["]
 PROBE_VECTOR = [((i % 7) - 3) / 10 for i in range(64)]
 
@@ -74,8 +76,10 @@ def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same jobs through a stream of several file batches."""
     landed, out = work_dir(spark, "deliveries"), work_dir(spark, "jobs")
-    corpus.deliveries(spark, sf_dir).repartition(4, "delivery_id").write.parquet(landed)
-    incoming = tables.stream_table(spark, "deliveries", landed, files_per_batch=2)
+    dealt = spread(corpus.deliveries(spark, sf_dir), "delivery_id", by=F.octet_length("body"), most=LANDED_BYTES)
+    dealt.write.parquet(landed)
+    files = len(spark.read.schema(schemas.DELIVERIES).parquet(landed).inputFiles())
+    incoming = tables.stream_table(spark, "deliveries", landed, files_per_batch=-(-files // 2))
     query = start_intake(incoming, corpus.SECRET, out, work_dir(spark, "intake"), available_now=True)
     query.awaitTermination()
     jobs = tables.read_table(spark, "review_jobs", out)
