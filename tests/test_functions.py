@@ -6,12 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.functions import jsonio
 from reviewlake.functions import text as tx
 from reviewlake.functions.crypto import hmac_sha256_hex
 from reviewlake.functions.globs import any_glob_regex, glob_to_regex
 from reviewlake.functions.jsonio import decode_envelope, envelope_ok, repeated_keys
 from reviewlake.functions.languages import extension, language
-from reviewlake.schemas import DETECTOR_PAYLOAD
+from reviewlake.schemas import DETECTOR_PAYLOAD, REVIEWER_PAYLOAD
 
 
 def values(spark, inputs, make, schema="i int, x string"):
@@ -171,3 +172,25 @@ def test_globs(spark):
     assert [glob_to_regex(g) for g in ("[", "[]", "{a", "a\\", "[a-]")] == [None] * 5
     assert any_glob_regex([]) is None and any_glob_regex(["["]) is None
     assert re.search(any_glob_regex(["[", "b*"]).replace("\\z", "\\Z"), "bc")
+
+
+def test_one_cast_and_field_by_field_agree(spark):
+    repeated_keys(spark)
+    item = '{"category":"c","line":%s,"message":"m","explanation":"e","suggested_fix":"f","confidence":%s,"decision":"d"}'
+    plain = ["1|2", "1|0.5", "2|1e3", "null|null", "3|1e-300"]
+    odd = ['"2"|1', "1.5|1", "12345678901234567890|1", 'true|1', '1|"x"']
+    items = {t: item % tuple(t.split("|")) for t in plain + odd}
+    more = ["null", "{}", "5", "[]", '{"LINE":3}', '{"line":4,"other":1}', '{"message":7}']
+    lists = [[x] for x in items.values()] + [[items["1|2"], x] for x in [*items.values(), *more]] + [[]]
+    texts = ['{"items":[' + ",".join(x) + "]}" for x in lists] + ['{"items":null}', "null", "{}", "[]", '{"Items":[' + items["1|2"] + "]}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    wrapped = F.try_parse_json("t")
+
+    def filled(result):
+        return F.when(result["ok"], jsonio.zero_filled(result["value"], REVIEWER_PAYLOAD))
+
+    rows = df.select("t", filled(jsonio._decoded(wrapped, REVIEWER_PAYLOAD)).alias("a"), filled(jsonio._typed(wrapped, REVIEWER_PAYLOAD)).alias("b"))
+    rows = rows.withColumn("fast", F.schema_of_variant(wrapped).rlike(f"^{jsonio._described(REVIEWER_PAYLOAD)}$")).collect()
+    assert all(r.a == r.b for r in rows)
+    fast = {r.t for r in rows if r.fast}
+    assert {'{"items":[' + items[t] + "]}" for t in plain} <= fast and not {'{"items":[' + items[t] + "]}" for t in odd} & fast
