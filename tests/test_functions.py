@@ -194,3 +194,33 @@ def test_one_cast_and_field_by_field_agree(spark):
     assert all(r.a == r.b for r in rows)
     fast = {r.t for r in rows if r.fast}
     assert {'{"items":[' + items[t] + "]}" for t in plain} <= fast and not {'{"items":[' + items[t] + "]}" for t in odd} & fast
+
+
+def test_typed_parser_and_checks_agree(spark):
+    repeated_keys(spark)
+    item = '{"line":%s,"confidence":%s,"message":%s}'
+    plain = [
+        item % ("1", "0.7000000000000001", '"a"'), item % ("-3", "12", '"\\u00e9\\n\\"\\\\ \\/"'), item % ("null", "null", "null"),
+        item % ("0", "0.25", '"\\ud83d\\ude00 é😀"'), item % ("-0", "0.0", '"\\ud800"'), '{"line":1,"line":2}', "{}", ' { "message" : "}]" ,\n"line"\t: 5 } ',
+    ]
+    odd = [
+        item % x
+        for x in [("01", "1", '""'), ("1.0", "1", '""'), ("1e2", "1", '""'), ('"1"', "1", '""'), ("123456789012345678901", "1", '""'),
+                  ("1", "-0.0", '""'), ("1", "1e999", '""'), ("1", ".5", '""'), ("1", "1.", '""'), ("1", '"NaN"', '""'), ("1", "NaN", '""'),
+                  ("1", "1", "5"), ("1", "1", '"\t"'), ("1", "1", '"\\x"'), ("1", "1", "'a'"), ("1", "1", "{}"), ("true", "1", '""')]
+    ] + ['{"LINE":1}', '{"other":1}', '{"line":1,}', '{"line":1 "message":""}', "null", "5", "[]", '{"line":1}}', '{"line"}']
+    texts = ['{"items":[' + ",".join(x) + "]}" for x in [[], plain, *([x] for x in plain + odd), *([plain[0], x] for x in odd)]]
+    n_plain = 2 + len(plain)
+    many = '{"items":[' + ",".join([plain[0]] * 5000 + [item % ("1", "1", '"' + "\\n x" * 100_000 + '"')]) + "]}"
+    texts = [many, *texts[:n_plain], ' {"items":[]}\n', '{"items":[],"items":[{}]}', *texts[n_plain:]]
+    n_plain += 3
+    texts += ["", "{", "{}", '{"items":null}', '{"items":[{}],}', '{"items":[{},]}', '{"items":[,{}]}', '{"items":[{}]} x', '{"items":[{}]},{"items":[]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    schema = REVIEWER_PAYLOAD
+    fast = F.col("t").rlike(rf"^\s*+{jsonio._plain(schema)}\s*+\z")
+    rows = df.select("i", "t", fast.alias("fast"), decode_envelope(F.col("t"), schema).alias("a"), jsonio._checked(F.col("t"), schema).alias("b"))
+    rows = rows.orderBy("i").collect()
+    assert [r.i for r in rows if r.fast and r.i < n_plain] == [*range(n_plain)]
+    for r in rows:
+        assert bool(r.a and r.a.ok) == bool(r.b and r.b.ok), r.t[:200]
+        assert not (r.a and r.a.ok) or r.a.value == r.b.value or repr(r.a.value) == repr(r.b.value), r.t[:200]
