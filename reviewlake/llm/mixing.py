@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import fresh, if_small, written
+from reviewlake.llm.common import fresh, if_small, released, written
 
 #: Share of the entropy of equal weights that the mix reaches, and passes over a source at most.
 TARGET_ENTROPY, MAX_REPEATS = 0.98, 4.0
@@ -163,6 +163,7 @@ def mixed(
     inside = inside.withColumn("earlier", before("s", "b", order="turn")).where("earlier < left")
     chosen = written(inside.select(F.col("s").alias("cs"), F.col("k").alias("ck"), F.col("p").alias("cp")), "mix-cut")
 
+    released(documents.sparkSession)
     tags = {c: fresh(rows, f"mix_{c}") for c in ("ps", "blocks", "os", "ob", "op", "rank", "cut", "cs", "ck", "cp")}
 
     def tagged(frame: DataFrame, **columns: str) -> DataFrame:

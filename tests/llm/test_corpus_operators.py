@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.llm import ann, line_dedup, minhash, mixing, ngram_join, warc
+from reviewlake.llm.common import released
 from reviewlake.llm.components import connected_components
 from reviewlake.session import written
 
@@ -407,3 +408,26 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, str(tmp_path)), "stage")
     assert empty.count() == 0
+
+
+def test_released_returns_freed_native_memory(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/statm") as pages:
+            return int(pages.read().split()[1]) * 4096 >> 20
+
+    page = bytes(1 << 16)
+    held = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    for deflater in held:
+        deflater.setInput(page)
+        deflater.deflate(bytearray(64))
+    for i, deflater in enumerate(held):
+        if i % 20:  # some stay in use between the freed ones
+            deflater.end()
+    jvm.System.gc()
+    jvm.System.gc()
+    freed = resident()
+    released(spark)
+    assert freed - resident() > 40
