@@ -132,6 +132,39 @@ def test_banding_reaches_the_recall_it_is_chosen_for():
     assert met >= 298
 
 
+def test_candidates_are_dealt_once_and_connect_all_that_share_a_key(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(400), draw.randrange(300)) for _ in range(500)] + [(1000 + i, 7) for i in range(9000)] + [(1000, 7), (None, 7), (5, None)]
+    keys = spark.createDataFrame(rows, "node bigint, key bigint")
+    links = minhash.candidates(keys)
+    length = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        assert links._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 1
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", length)
+    least = {}
+    for node, key in rows:
+        if None not in (node, key):
+            least[key] = min(node, least.get(key, node))
+    want = {(n, least[k]) for n, k in rows if None not in (n, k) and n != least[k]}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ordered_shingles_are_those_of_a_plain_sort():
+    draw = np.random.default_rng(3)
+    n = np.array([3, 1, 4])
+    group_of = np.repeat(np.arange(3), n)
+    owner = np.sort(draw.integers(0, 8, 400))
+    hashes = draw.integers(0, 1 << 64, 30, dtype=np.uint64)[draw.integers(0, 30, 400)]
+    want = sorted({(group_of[o], h, o) for o, h in zip(owner.tolist(), hashes.tolist())})
+    for bits in (63, 1):  # packed in one number, and where they do not fit
+        at, code = minhash.ordered(hashes, owner, group_of, bits)
+        assert np.unique(hashes)[code].tolist() == [h for _, h, _ in want] and at.tolist() == [o for *_, o in want]
+    assert [len(x) for x in minhash.ordered(hashes[:0], owner[:0], group_of)] == [0, 0]
+
+
 def test_components_equal_union_find(spark):
     draw = random.Random(2)
     links = [(draw.randrange(120), draw.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300 + i) for i in range(1, 60)]
