@@ -74,3 +74,16 @@ def test_deliveries_land_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
     (path, per_batch), = landed
     files = len(spark.read.parquet(path).inputFiles())
     assert files > 8 and per_batch == -(-files // 2)
+
+
+def test_reviews_are_written_compressed_and_read_back(spark, tmp_path):
+    from reviewlake.sources import tables
+
+    comments = [(f"p{i}.go", i, "the same words again") for i in range(2000)]
+    schema = "repo_full_name string, pr_number bigint, commit_id string, body string, event string, comments array<struct<path:string,position:bigint,body:string>>"
+    reviews = spark.createDataFrame([("o/r", 1, "s", "b\nc", "e", comments), ("o/r", 2, None, None, "e", [])], schema)
+    tables.write_reviews(reviews, str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert sum(p.stat().st_size for p in files) < 40_000
+    back = tables.read_table(spark, "reviews", str(tmp_path / "out"), "json").select("pr_number", "body", "comments").collect()
+    assert sorted((r.pr_number, r.body, len(r.comments)) for r in back) == [(1, "b\nc", 2000), (2, None, 0)]
